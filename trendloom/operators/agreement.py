@@ -22,11 +22,13 @@ def cohen_kappa(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
     Each cell of the contingency table adds to the margin of its two classes, so the margins
     come from one grouping of the small table.
     """
-    same = F.when(F.col(a) == F.col(b), F.col("n")).otherwise(0)
-    margins = F.array(
-        F.struct(F.col(a).alias("label"), F.col("n").alias("row"), F.lit(0).cast("bigint").alias("col"), same.cast("bigint").alias("agree")),
-        F.struct(F.col(b).alias("label"), F.lit(0).cast("bigint"), F.col("n"), F.lit(0).cast("bigint")),
-    )
+    none = F.lit(0).cast("bigint")
+    same = F.when(F.col(a) == F.col(b), F.col("n")).otherwise(none)
+
+    def margin(label: str, row: Column, col: Column, agree: Column) -> Column:
+        return F.struct(F.col(label).alias("label"), row.alias("row"), col.alias("col"), agree.alias("agree"))
+
+    margins = F.array(margin(a, F.col("n"), none, same), margin(b, none, F.col("n"), none))
     classes = (
         confusion(df, a, b, *by).select(*by, F.explode(margins).alias("m")).select(*by, "m.*")
         .groupBy(*by, "label").agg(F.sum("row").alias("row"), F.sum("col").alias("col"), F.sum("agree").alias("agree"))

@@ -164,16 +164,15 @@ def all_dimension_profile(df: DataFrame, k: int = 10, dimensions: Sequence[str]
 def summary_report(df: DataFrame, k: int = 10) -> DataFrame:
     """The block report as one table: (section, rank, value, n, pct)."""
     totals = label_summary(df)
-    head = totals.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit(1).alias("rank"), F.lit("classified").alias("value"), F.col("total").alias("n"), F.lit(100.0).alias("pct")),
-                F.struct(F.lit(2), F.lit("successful"), F.col("success"), F.col("success_pct")),
-                F.struct(F.lit(3), F.lit("genuine"), F.col("genuine"), F.col("genuine_pct")),
-                F.struct(F.lit(4), F.lit("non_genuine"), F.col("non_genuine"), F.col("non_genuine_pct")),
-            )
-        ).alias("r")
-    ).select(F.lit("totals").alias("section"), "r.*")
+    lines = [("classified", "total", F.lit(100.0)), ("successful", "success", F.col("success_pct")),
+             ("genuine", "genuine", F.col("genuine_pct")), ("non_genuine", "non_genuine", F.col("non_genuine_pct"))]
+    rows = F.array(
+        *[
+            F.struct(F.lit(i).alias("rank"), F.lit(name).alias("value"), F.col(n).alias("n"), pct.alias("pct"))
+            for i, (name, n, pct) in enumerate(lines, start=1)
+        ]
+    )
+    head = totals.select(F.explode(rows).alias("r")).select(F.lit("totals").alias("section"), "r.*")
     kept = genuine(successes(df))
     no_pct = F.lit(None).cast("double").alias("pct")
     dims = all_dimension_profile(kept, k).select(F.col("dimension").alias("section"), "rank", "value", "n", no_pct)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +37,8 @@ def read_bulk_tsv(spark: SparkSession, path: str | list[str], schema: T.StructTy
     """Large tab-separated files with a header, columns in schema order.
 
     Lines with too many fields are skipped, short ones are filled with NULL, undecodable bytes
-    become the replacement character. One line is one row, so the files are split. The file name
-    is kept as ``file_name``.
+    become the replacement character. One line is one row, so the files are split. The path of
+    the file is kept as ``file_path``.
     """
     bad = T.StructField("_bad", T.StringType())
     raw = spark.read.schema(T.StructType([*schema.fields, bad])).csv(
@@ -45,7 +46,7 @@ def read_bulk_tsv(spark: SparkSession, path: str | list[str], schema: T.StructTy
     )
     fields = F.size(F.split("_bad", "\t"))
     kept = raw.where(F.col("_bad").isNull() | (fields <= len(schema.fields)))
-    return kept.select(*schema.names, F.col("_metadata.file_name").alias("file_name"))
+    return kept.select(*schema.names, F.col("_metadata.file_path").alias("file_path"))
 
 
 def resolve_columns(columns: Sequence[str], roles: Mapping[str, Sequence[Sequence[str]]]) -> dict[str, str]:
@@ -78,24 +79,27 @@ CLAIM_ROLES = {
     "text": [["text"]],
 }
 TEXT_ROLES = {"lens_id": [["lens", "id"]], "title": [["title"]], "abstract": [["abstract"]]}
-# Names of the yearly claim files.
-CLAIM_FILES = {"granted": "g_claims_*.tsv", "pregrant": "pg_claims_*.tsv"}
 
 
-def read_yearly_claims(spark: SparkSession, root: str, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
-    """All claim files of a folder; kind and year come from the file name, absent years are skipped.
+def claim_files(root: str) -> dict[str, str]:
+    """Yearly claim files of a folder by kind, under their published names."""
+    return {"granted": f"{root.rstrip('/')}/g_claims_*.tsv", "pregrant": f"{root.rstrip('/')}/pg_claims_*.tsv"}
 
-    The two kinds name their columns differently, so each is read by its own header; within a
-    kind all years are one read.
+
+def read_yearly_claims(
+    spark: SparkSession, files: Mapping[str, str], first: int = FIRST_YEAR, last: int = LAST_YEAR
+) -> DataFrame:
+    """All claim files, one path pattern per kind; the year is taken from the file name.
+
+    The kinds name their columns differently, so each is read by its own header; within a kind
+    all years are one read, and a year without a file is simply absent.
     """
     kinds = []
-    for claim_type, pattern in CLAIM_FILES.items():
-        pick = spark.read.option("pathGlobFilter", pattern)
-        header = pick.csv(root, sep="\t", header=True).columns
-        schema = T.StructType([T.StructField(name.strip(), T.StringType()) for name in header])
-        rows = read_bulk_tsv_like(spark, root, schema, pattern)
-        found = resolve_columns(schema.names, CLAIM_ROLES)
-        year = F.regexp_extract("file_name", r"_claims_([0-9]{4})\.", 1)
+    for claim_type, pattern in files.items():
+        header = [name.strip() for name in spark.read.csv(pattern, sep="\t", header=True).columns]
+        rows = read_bulk_tsv(spark, pattern, T.StructType([T.StructField(name, T.StringType()) for name in header]))
+        found = resolve_columns(header, CLAIM_ROLES)
+        year = F.regexp_extract("file_path", r"_claims_([0-9]{4})\.tsv", 1)
         kinds.append(
             rows.select(
                 strip(F.col(f"`{found['patent_id']}`")).alias("patent_id"), F.lit(claim_type).alias("claim_type"),
@@ -103,15 +107,10 @@ def read_yearly_claims(spark: SparkSession, root: str, first: int = FIRST_YEAR,
                 F.col(f"`{found['text']}`").alias("text"),
             )
         )
-    rows = kinds[0].unionByName(kinds[1])
+    rows = reduce(DataFrame.unionByName, kinds)
     return rows.where(F.col("year").between(first, last))
 
 
-def read_bulk_tsv_like(spark: SparkSession, root: str, schema: T.StructType, pattern: str) -> DataFrame:
-    """``read_bulk_tsv`` over the files of a folder that match a name pattern."""
-    return read_bulk_tsv(spark, f"{root.rstrip('/')}/{pattern}", schema)
-
-
 def read_publications(spark: SparkSession, path: str) -> DataFrame:
     """Nested publication records; Spark reads only the struct fields a query touches."""
     return spark.read.schema(PUBLICATIONS).parquet(path)
