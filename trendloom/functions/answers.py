@@ -61,7 +61,7 @@ def _labels(answer: Column, schema: T.StructType) -> list[Column]:
 def parse_labels(
     df: DataFrame, answer: str = "answer", style: str = "braces", schema: T.StructType = LABELS
 ) -> DataFrame:
-    """Add the label columns, ``status`` and ``raw_response`` (kept on failure only).
+    """Replace the answer by the label columns, ``status`` and ``raw_response`` (failures only).
 
     ``braces``: fence anywhere, cut to the outer braces, an empty object is an error.
     ``prefix``: fence at the start only, the rest must be one JSON object.
@@ -90,7 +90,8 @@ def parse_labels(
     staged = staged.withColumn("status", status).withColumn(
         "_answer", F.when(F.col("status") == "success", F.element_at("_members", F.lit("answer")))
     )
-    keys = [c for c in df.columns if c not in schema.names and c not in ("status", "raw_response")]
+    added = [*schema.names, "status", "raw_response", answer]
+    keys = [c for c in df.columns if c not in added]
     raw = F.when(F.col("status") != "success", truncate(F.coalesce(F.col(answer), F.lit("")), RAW_CHARS))
     return staged.select(*keys, *_labels(F.col("_answer"), schema), "status", raw.alias("raw_response"))
 

@@ -1,6 +1,8 @@
 """Expressions over the arrays of structs of a publication record.
 
-Each stays inside its row, so no query explodes or joins an array.
+Each stays inside its row, so no query explodes or joins an array. Where one field suffices it is
+taken out first (``array["field"]``), which lets Parquet read that field alone; Spark does not
+prune the fields used inside a lambda.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ def pick_localized(texts: Column, language: str = "en", require_text: bool = Fal
 
 def earliest_priority_country(priorities: Column) -> Column:
     """Country prefix of the priority filed first; an undated priority sorts first."""
-    dated = F.transform(priorities, lambda x: F.struct(x["filing_date"], x["publication_number"]))
-    return F.substring(F.array_min(dated)["publication_number"], 1, 2)
+    dated = F.arrays_zip(priorities["filing_date"].alias("day"), priorities["publication_number"].alias("number"))
+    return F.substring(F.array_min(dated)["number"], 1, 2)
 
 
 def collect_codes(cpc: Column) -> Column:
-    return F.transform(cpc, lambda x: x["code"])
+    return cpc["code"]
 
 
 def has_long_text(texts: Column, language: str = "en", longer_than: int = MIN_ABSTRACT) -> Column:
@@ -38,7 +40,7 @@ def has_long_text(texts: Column, language: str = "en", longer_than: int = MIN_AB
 
 
 def has_code(cpc: Column, pattern: str) -> Column:
-    return F.exists(cpc, lambda x: x["code"].rlike(pattern))
+    return F.exists(cpc["code"], lambda code: code.rlike(pattern))
 
 
 def first_code(codes: Column, pattern: str) -> Column:
@@ -47,12 +49,12 @@ def first_code(codes: Column, pattern: str) -> Column:
 
 def no_us_priority(priorities: Column) -> Column:
     """True also when there is no priority at all, or its number is missing."""
-    us = F.exists(priorities, lambda x: x["application_number"].startswith("US"))
+    us = F.exists(priorities["application_number"], lambda number: number.startswith("US"))
     return F.coalesce(~us, F.lit(True))
 
 
 def first_country(parties: Column) -> Column:
-    return F.get(parties, F.lit(0))["country_code"]
+    return F.get(parties["country_code"], F.lit(0))
 
 
 def year_of_date(yyyymmdd: Column) -> Column:

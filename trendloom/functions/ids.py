@@ -32,3 +32,14 @@ def claim_file_kind(doc_id: Column) -> Column:
     """Which claim files can hold the document; NULL for unknown shapes."""
     kind = id_kind(doc_id)
     return F.when(kind.isin("granted", "reissue"), "granted").when(kind == "pregrant", "pregrant")
+
+
+def document_key(doc_id: Column) -> Column:
+    """Join key of a universe id. Unknown shapes get one that no bulk file uses, and each its own,
+    so they neither match nor pile up in one task as NULLs would."""
+    return F.when(id_kind(doc_id) == "unknown", F.concat(F.lit("?"), doc_id)).otherwise(join_key(doc_id))
+
+
+def key_file_kind(key: Column) -> Column:
+    """Claim files in which a bulk key is looked for: pre-grant numbers have their own shape."""
+    return F.when(key.rlike(r"^20[0-9]{9}$"), "pregrant").otherwise("granted")

@@ -46,6 +46,15 @@ def _keyed(bulk: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
     return bulk.select(ids.join_key(F.col(id_col)).alias("key"), blank_to_null(F.col(text_col)).alias(name))
 
 
+def _text_lookups(granted_titles: DataFrame, granted_abstracts: DataFrame, pregrant_abstracts: DataFrame) -> list:
+    # Text before NULL, then alphabetical: bulk files carry no order of their own.
+    return [
+        (_keyed(granted_titles, "patent_id", "patent_title", "title"), [F.col("title").isNull()]),
+        (_keyed(granted_abstracts, "patent_id", "patent_abstract", "granted"), [F.col("granted").isNull()]),
+        (_keyed(pregrant_abstracts, "pgpub_id", "application_abstract", "pregrant"), [F.col("pregrant").isNull()]),
+    ]
+
+
 def assemble_text(
     universe: DataFrame,
     granted_titles: DataFrame,
@@ -54,13 +63,8 @@ def assemble_text(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Title and abstract of every universe row: granted files first, then pre-grant, then ''."""
-    docs = universe.select("doc_id", ids.join_key(F.col("doc_id")).alias("key"))
-    # Text before NULL, then alphabetical: bulk files carry no order of their own.
-    lookups = [
-        (_keyed(granted_titles, "patent_id", "patent_title", "title"), [F.col("title").isNull()]),
-        (_keyed(granted_abstracts, "patent_id", "patent_abstract", "granted"), [F.col("granted").isNull()]),
-        (_keyed(pregrant_abstracts, "pgpub_id", "application_abstract", "pregrant"), [F.col("pregrant").isNull()]),
-    ]
+    docs = universe.select("doc_id", ids.document_key(F.col("doc_id")).alias("key"))
+    lookups = _text_lookups(granted_titles, granted_abstracts, pregrant_abstracts)
     joined = lookup_join(docs, ["key"], lookups, hot_rows=hot_rows)
     texts = joined.select(
         "doc_id",
@@ -71,6 +75,34 @@ def assemble_text(
     return text_flags(texts)
 
 
+def model_corpus(
+    universe: DataFrame,
+    granted_titles: DataFrame,
+    granted_abstracts: DataFrame,
+    pregrant_abstracts: DataFrame,
+    claims: DataFrame,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """The merged table straight from the bulk tables.
+
+    Same rows as assembling, selecting claims and merging one after the other, but the universe
+    is shuffled once and every bulk table once.
+    """
+    docs = universe.select("doc_id", "year", ids.document_key(F.col("doc_id")).alias("key"))
+    claim1 = first_claim(claims).select(
+        ids.join_key(F.col("patent_id")).alias("key"), "claim_type", F.col("year").alias("claim_year"),
+        blank_to_null(F.col("text")).alias("claim1_text"),
+    ).where(F.col("claim_type") == ids.key_file_kind(F.col("key")))
+    lookups = _text_lookups(granted_titles, granted_abstracts, pregrant_abstracts)
+    lookups.append((claim1, ["claim_type", "claim_year", "claim1_text"]))
+    joined = lookup_join(docs, ["key"], lookups, hot_rows=hot_rows)
+    flagged = presence_flags(joined.withColumn("abstract", F.coalesce("granted", "pregrant")))
+    return flagged.select(
+        "doc_id", "year", "title", "abstract", "claim1_text", "claim_type", "has_abstract", "has_claim", "has_both",
+        truncate(F.col("claim1_text"), CLAIM_CHARS).alias("claim1_text_truncated"),
+    )
+
+
 def text_flags(df: DataFrame) -> DataFrame:
     """Length-based flags of the assembled table."""
     return df.withColumn("has_title", longer_than(F.col("title"), 2)).withColumn(

@@ -301,6 +301,12 @@ def _(t):
     return sinks.project_columns(merged(t), corpus.MODEL_INPUT)
 
 
+@query("model_corpus")
+def _(t):
+    docs = corpus.model_corpus(t.universe, t.granted_titles, t.granted_abstracts, t.pregrant_abstracts, t.claims)
+    return sinks.project_columns(docs, corpus.MODEL_INPUT)
+
+
 @query("assemble_text")
 def _(t):
     return assembled(t)

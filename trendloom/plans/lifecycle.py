@@ -21,9 +21,7 @@ def label_corpus(
     claims: DataFrame, system: str, make_scorer: Callable[[], scoring.Scorer], tasks: int | None = None,
 ) -> DataFrame:
     """Assemble texts and first claims, render prompts, score and parse. Lazy up to the scorer."""
-    texts = corpus.assemble_text(universe, granted_titles, granted_abstracts, pregrant_abstracts)
-    first_claims = corpus.first_claim_dedup(corpus.claim_records(claims, universe))
-    docs = corpus.corpus_left_join(universe, texts, first_claims)
+    docs = corpus.model_corpus(universe, granted_titles, granted_abstracts, pregrant_abstracts, claims)
     prompt = text.prompt_full(system, F.col("title"), F.col("abstract"), F.col("claim1_text_truncated"))
     scored = scoring.score_batches(docs.select("doc_id", "year", prompt.alias("prompt")), make_scorer, tasks=tasks)
     return answers.parse_labels(scored, style="braces", schema=LABELS)

@@ -179,6 +179,7 @@ _MERGED = f"""(SELECT u.doc_id, u.year, nullif(title, '') AS title, nullif(abstr
 SQL["corpus_left_join"] = f"""
 SELECT doc_id, year, title, abstract, substr(claim1_text, 1, 800) AS claim1_text_truncated, claim_type,
        abstract IS NOT NULL AS has_abstract, claim1_text IS NOT NULL AS has_claim FROM {_MERGED}"""
+SQL["model_corpus"] = SQL["corpus_left_join"]
 SQL["bridge_join"] = """
 SELECT c.doc_id, c.ai_technique, u.year FROM <<classification>> c LEFT JOIN <<universe>> u USING (doc_id)"""
 SQL["text_join"] = """

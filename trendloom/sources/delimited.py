@@ -34,19 +34,21 @@ def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType, multi_l
 
 
 def read_bulk_tsv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """Large tab-separated files with a header, columns in schema order.
+    """Large tab-separated files with a header, string columns in schema order.
 
-    Lines with too many fields are skipped, short ones are filled with NULL, undecodable bytes
-    become the replacement character. One line is one row, so the files are split. The path of
-    the file is kept as ``file_path``.
+    Lines with too many fields are skipped, short ones are filled with NULL, blanks are NULL and
+    undecodable bytes become the replacement character. One line is one row, so the files are
+    split. The path of the file is kept as ``file_path``.
     """
-    bad = T.StructField("_bad", T.StringType())
-    raw = spark.read.schema(T.StructType([*schema.fields, bad])).csv(
-        path, sep="\t", header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", quote='"', escape='"'
+    # A surplus field lands in one more column. Counting the fields of rejected lines instead would
+    # fail as soon as a query needs no other column. An empty surplus field does no harm.
+    surplus = T.StructField("_surplus", T.StringType())
+    raw = spark.read.schema(T.StructType([*schema.fields, surplus])).csv(
+        path, sep="\t", header=True, quote='"', escape='"'
     )
-    fields = F.size(F.split("_bad", "\t"))
-    kept = raw.where(F.col("_bad").isNull() | (fields <= len(schema.fields)))
-    return kept.select(*schema.names, F.col("_metadata.file_path").alias("file_path"))
+    kept = raw.where(F.col("_surplus").isNull())
+    columns = [F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in schema.names]
+    return kept.select(*columns, F.col("_metadata.file_path").alias("file_path"))
 
 
 def resolve_columns(columns: Sequence[str], roles: Mapping[str, Sequence[Sequence[str]]]) -> dict[str, str]:
