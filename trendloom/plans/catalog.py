@@ -126,13 +126,10 @@ def _(t):
 
 @query("scan_publications_nested")
 def _(t):
-    path = scratch_dir(t.spark, "publications")
-    t.publications.write.parquet(path)
-    found = delimited.read_publications(t.spark, path)
-    return found.select(
-        "publication_number", "publication_date", F.col("cpc.code").alias("codes"),
-        F.coalesce(F.array_size("priority_claim"), F.lit(0)).alias("n_priorities"),
-    ).select("publication_number", "publication_date", F.concat_ws("|", "codes").alias("codes"), "n_priorities")
+    return t.publications().select(
+        "publication_number", "publication_date", F.concat_ws("|", F.col("cpc.code")).alias("codes"),
+        F.coalesce(F.array_size("priority_claim.filing_date"), F.lit(0)).alias("n_priorities"),
+    )
 
 
 @query("union_variant_rows")
@@ -378,7 +375,7 @@ def _(t):
 
 @query("pick_localized")
 def _(t):
-    return t.publications.select(
+    return t.publications().select(
         "publication_number", arrays.pick_localized(F.col("title_localized")).alias("title"),
         arrays.pick_localized(F.col("abstract_localized"), require_text=True).alias("abstract"),
     )
@@ -386,22 +383,22 @@ def _(t):
 
 @query("earliest_priority_country")
 def _(t):
-    return t.publications.select("publication_number", arrays.earliest_priority_country(F.col("priority_claim")).alias("country"))
+    return t.publications().select("publication_number", arrays.earliest_priority_country(F.col("priority_claim")).alias("country"))
 
 
 @query("collect_codes")
 def _(t):
-    return t.publications.select("publication_number", F.concat_ws("|", arrays.collect_codes(F.col("cpc"))).alias("codes"))
+    return t.publications().select("publication_number", F.concat_ws("|", arrays.collect_codes(F.col("cpc"))).alias("codes"))
 
 
 @query("exists_text")
 def _(t):
-    return t.publications.where(arrays.has_long_text(F.col("abstract_localized"))).select("publication_number")
+    return t.publications().where(arrays.has_long_text(F.col("abstract_localized"))).select("publication_number")
 
 
 @query("exists_code_match")
 def _(t):
-    return t.publications.select(
+    return t.publications().select(
         "publication_number", arrays.has_code(F.col("cpc"), S.CPC_CANDIDATE).alias("narrow"),
         arrays.has_code(F.col("cpc"), S.CPC_COUNTRY).alias("wide"),
     )
@@ -410,17 +407,17 @@ def _(t):
 @query("first_code_match")
 def _(t):
     codes = arrays.collect_codes(F.col("cpc"))
-    return t.publications.select("publication_number", arrays.first_code(codes, S.CPC_CANDIDATE).alias("cpc"))
+    return t.publications().select("publication_number", arrays.first_code(codes, S.CPC_CANDIDATE).alias("cpc"))
 
 
 @query("not_exists_us_priority")
 def _(t):
-    return t.publications.where(arrays.no_us_priority(F.col("priority_claim"))).select("publication_number")
+    return t.publications().where(arrays.no_us_priority(F.col("priority_claim"))).select("publication_number")
 
 
 @query("first_country")
 def _(t):
-    return t.publications.select(
+    return t.publications().select(
         "publication_number", arrays.first_country(F.col("assignee_harmonized")).alias("applicant_country"),
         arrays.first_country(F.col("inventor_harmonized")).alias("inventor_country"),
     )
@@ -428,25 +425,25 @@ def _(t):
 
 @query("candidate_query")
 def _(t):
-    return publications.ordered_candidates(t.publications)
+    return publications.ordered_candidates(t.publications())
 
 
 @query("country_query")
 def _(t):
-    return publications.applicant_countries(t.publications)
+    return publications.applicant_countries(t.publications())
 
 
 @query("year_from_yyyymmdd")
 def _(t):
     day = F.col("publication_date")
-    return t.publications.select(
+    return t.publications().select(
         "publication_number", arrays.year_of_date(day).alias("parsed"), arrays.year_of_number(day).alias("divided")
     )
 
 
 @query("number_prefix")
 def _(t):
-    return t.publications.select(
+    return t.publications().select(
         "publication_number", (F.col("country_code") == "EP").alias("by_country"),
         F.col("publication_number").startswith("EP").alias("by_number"),
     )
@@ -905,6 +902,6 @@ def _(t):
 
 @query("label_candidates")
 def _(t):
-    return lifecycle.label_candidates(t.publications, SYSTEM, make_stub).select(
+    return lifecycle.label_candidates(t.publications(), SYSTEM, make_stub).select(
         "ep_id", "year", "cpc", "is_genuine_ai", "ai_technique", "status"
     )

@@ -62,7 +62,7 @@ SQL["scan_yearly_files"] = "SELECT patent_id, claim_type, year, seq, text FROM <
 SQL["resolve_columns"] = "SELECT patent_id, seq, text FROM <<claims>>"
 SQL["scan_publications_nested"] = """
 SELECT publication_number, publication_date, array_to_string(list_transform(cpc, lambda x: x.code), '|') AS codes,
-       CAST(coalesce(len(priority_claim), 0) AS INT) AS n_priorities FROM <<publications>>"""
+       CAST(coalesce(len(priority_claim), 0) AS INT) AS n_priorities FROM <<publication_rows>>"""
 SQL["union_variant_rows"] = """
 SELECT doc_id, status, CASE WHEN status = 'success' THEN ai_technique END AS ai_technique,
        CASE WHEN status <> 'success' THEN 'no answer' END AS raw_response FROM <<classification>>"""
@@ -212,33 +212,33 @@ def _codes(pattern: str) -> str:
 _NO_US = "len(list_filter(coalesce(priority_claim, []), lambda x: coalesce(x.application_number, '') LIKE 'US%')) = 0"
 _PARSED_YEAR = "CAST(year(try_strptime(CAST(publication_date AS VARCHAR), '%Y%m%d')) AS INT)"
 _DIVIDED_YEAR = "CAST(floor(publication_date / 10000) AS INT)"
-SQL["pick_localized"] = f"SELECT publication_number, {_TITLE} AS title, {_ABSTRACT} AS abstract FROM <<publications>>"
-SQL["earliest_priority_country"] = f"SELECT publication_number, {_EARLIEST} AS country FROM <<publications>>"
+SQL["pick_localized"] = f"SELECT publication_number, {_TITLE} AS title, {_ABSTRACT} AS abstract FROM <<publication_rows>>"
+SQL["earliest_priority_country"] = f"SELECT publication_number, {_EARLIEST} AS country FROM <<publication_rows>>"
 SQL["collect_codes"] = """
-SELECT publication_number, array_to_string(list_transform(cpc, lambda x: x.code), '|') AS codes FROM <<publications>>"""
-SQL["exists_text"] = f"SELECT publication_number FROM <<publications>> WHERE {_LONG}"
+SELECT publication_number, array_to_string(list_transform(cpc, lambda x: x.code), '|') AS codes FROM <<publication_rows>>"""
+SQL["exists_text"] = f"SELECT publication_number FROM <<publication_rows>> WHERE {_LONG}"
 SQL["exists_code_match"] = f"""
-SELECT publication_number, len({_codes(S.CPC_CANDIDATE)}) > 0 AS narrow, len({_codes(S.CPC_COUNTRY)}) > 0 AS wide FROM <<publications>>"""
-SQL["first_code_match"] = f"SELECT publication_number, {_codes(S.CPC_CANDIDATE)}[1].code AS cpc FROM <<publications>>"
-SQL["not_exists_us_priority"] = f"SELECT publication_number FROM <<publications>> WHERE {_NO_US}"
+SELECT publication_number, len({_codes(S.CPC_CANDIDATE)}) > 0 AS narrow, len({_codes(S.CPC_COUNTRY)}) > 0 AS wide FROM <<publication_rows>>"""
+SQL["first_code_match"] = f"SELECT publication_number, {_codes(S.CPC_CANDIDATE)}[1].code AS cpc FROM <<publication_rows>>"
+SQL["not_exists_us_priority"] = f"SELECT publication_number FROM <<publication_rows>> WHERE {_NO_US}"
 SQL["first_country"] = """
 SELECT publication_number, assignee_harmonized[1].country_code AS applicant_country,
-       inventor_harmonized[1].country_code AS inventor_country FROM <<publications>>"""
+       inventor_harmonized[1].country_code AS inventor_country FROM <<publication_rows>>"""
 _CANDIDATES = f"""(SELECT * FROM (SELECT publication_number AS ep_id, {_PARSED_YEAR} AS year, {_TITLE} AS title,
  {_ABSTRACT} AS abstract, {_EARLIEST} AS priority_country, {_codes(S.CPC_CANDIDATE)}[1].code AS cpc
- FROM <<publications>> WHERE country_code = 'EP' AND {_PARSED_YEAR} BETWEEN 2010 AND 2023 AND {_LONG}
+ FROM <<publication_rows>> WHERE country_code = 'EP' AND {_PARSED_YEAR} BETWEEN 2010 AND 2023 AND {_LONG}
  AND len({_codes(S.CPC_CANDIDATE)}) > 0) WHERE priority_country <> 'US' AND abstract IS NOT NULL)"""
 SQL["candidate_query"] = f"SELECT * FROM {_CANDIDATES}"
 SQL["country_query"] = f"""
 SELECT publication_number AS ep_id, {_DIVIDED_YEAR} AS year, assignee_harmonized[1].country_code AS applicant_country,
-       inventor_harmonized[1].country_code AS inventor_country FROM <<publications>>
+       inventor_harmonized[1].country_code AS inventor_country FROM <<publication_rows>>
 WHERE publication_number LIKE 'EP%' AND {_LONG} AND len({_codes(S.CPC_COUNTRY)}) > 0
   AND {_DIVIDED_YEAR} BETWEEN 2010 AND 2023 AND {_NO_US}"""
 SQL["year_from_yyyymmdd"] = f"""
-SELECT publication_number, {_PARSED_YEAR} AS parsed, {_DIVIDED_YEAR} AS divided FROM <<publications>>"""
+SELECT publication_number, {_PARSED_YEAR} AS parsed, {_DIVIDED_YEAR} AS divided FROM <<publication_rows>>"""
 SQL["number_prefix"] = """
 SELECT publication_number, country_code = 'EP' AS by_country,
-       regexp_matches(publication_number, '^EP') AS by_number FROM <<publications>>"""
+       regexp_matches(publication_number, '^EP') AS by_number FROM <<publication_rows>>"""
 
 # --- aggregations ----------------------------------------------------------
 _BY_YEAR = f"(SELECT year, count(*) AS n FROM {GENUINE} GROUP BY year)"

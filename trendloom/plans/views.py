@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from trendloom import schemas as S
+from trendloom.session import scratch_dir, small_methods
+from trendloom.sources.delimited import read_publications
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -219,49 +221,67 @@ EVENT_DOCS = """
 SELECT CAST(event_id AS STRING) AS doc_id, event_type || ' ' || props AS text FROM <<events>>"""
 
 
-def publications(d: Dialect) -> str:
-    """One record per order line. Texts come from the document with the order's key."""
-    base = f"{year('l_shipdate')} * 10000 + month(l_shipdate) * 100"
-    offset = "i" if d.spark else "(i - 1)"
+def choose(expr: str, values: list[str]) -> str:
+    """``pick`` for long lists that are used often: one lookup instead of a chain of tests."""
+    return f"split_part('{','.join(values)}', ',', CAST({expr} + 1 AS INT))"
 
-    def priority(j: int) -> str:
-        country = pick(f"(l_suppkey + {j} * l_partkey) % 6", PRIORITY_COUNTRIES)
-        number = f"{country} || CAST(l_orderkey * 10 + {j} AS STRING)"
-        return d.struct(
-            publication_number=number,
-            application_number=f"CASE WHEN l_partkey % 11 <> 0 THEN {number} END",
-            filing_date=f"CASE WHEN l_partkey % 13 = {j} THEN NULL ELSE CAST({base} + 1 - 10000 * (1 + (l_partkey + {j}) % 3) AS INT) END",
-        )
 
-    def country(expr: str) -> str:
-        return d.struct(country_code=pick(expr, PRIORITY_COUNTRIES))
+# The values a publication record is made of, one row per order line.
+def _publication_parts() -> str:
+    numbers = ", ".join(
+        f"{choose(f'(l_suppkey + {j} * l_partkey) % 6', PRIORITY_COUNTRIES)} || CAST(l_orderkey * 10 + {j} AS STRING) AS number{j}, "
+        f"CASE WHEN l_partkey % 13 <> {j} THEN CAST({{base}} + 1 - 10000 * (1 + (l_partkey + {j}) % 3) AS INT) END AS day{j}"
+        for j in (1, 2, 3)
+    )
+    codes = ", ".join(
+        f"{choose(e, CODES)} AS code{i}"
+        for i, e in enumerate(("l_partkey % 12", "l_suppkey % 12", "(l_partkey + l_suppkey) % 12"), start=1)
+    )
+    base = f"({year('l_shipdate')} * 10000 + month(l_shipdate) * 100)"
+    return f"""
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_suppkey % 25 = 0 THEN 'US' ELSE 'EP' END AS prefix,
+       {base} AS base, day(l_shipdate) AS day, {year('l_shipdate')} AS year,
+       'Method ' || CAST(l_partkey AS STRING) AS method, 'Verfahren ' || CAST(l_partkey AS STRING) AS german,
+       {numbers.replace("{base}", base)}, {codes},
+       {choose('l_suppkey % 6', PRIORITY_COUNTRIES)} AS party1, {choose('l_partkey % 6', PRIORITY_COUNTRIES)} AS party2,
+       CASE WHEN l_partkey % 19 <> 0 THEN {choose('(l_suppkey + l_partkey) % 6', PRIORITY_COUNTRIES)} END AS inventor
+FROM <<lineitem>>"""
+
 
-    method = "'Method ' || CAST(l_partkey AS STRING)"
+def publications(d: Dialect) -> str:
+    """Nested records. Texts come from the document with the order's key, one element per line."""
+    offset = "i" if d.spark else "(i - 1)"
     titles = d.array(
-        d.struct(text="'Verfahren ' || CAST(l_partkey AS STRING)", language="'de'"),
-        d.struct(text=method, language="CASE WHEN l_suppkey % 7 = 0 THEN 'fr' ELSE 'en' END"),
-        d.struct(text=f"{method} || ' again'", language="'en'"),
+        d.struct(text="german", language="'de'"),
+        d.struct(text="method", language="CASE WHEN l_suppkey % 7 = 0 THEN 'fr' ELSE 'en' END"),
+        d.struct(text="method || ' again'", language="'en'"),
     )
     abstracts = d.indexed_map(
-        d.lines("text"), d.struct(text="nullif(t, '')", language=pick(f"({offset} + l_suppkey) % 4", LANGUAGES))
+        d.lines("text"), d.struct(text="nullif(t, '')", language=choose(f"({offset} + doc_id) % 4", LANGUAGES))
     )
-    codes = d.array(*[d.struct(code=pick(e, CODES)) for e in ("l_partkey % 12", "l_suppkey % 12", "(l_partkey + l_suppkey) % 12")])
-    prefix = "CASE WHEN l_suppkey % 25 = 0 THEN 'US' ELSE 'EP' END"
+    priorities = d.array(*[
+        d.struct(
+            publication_number=f"number{j}", application_number=f"CASE WHEN l_partkey % 11 <> 0 THEN number{j} END",
+            filing_date=f"day{j}",
+        )
+        for j in (1, 2, 3)
+    ])
+    codes = d.array(*[d.struct(code=f"code{j}") for j in (1, 2, 3)])
+    parties = d.array(d.struct(country_code="party1"), d.struct(country_code="party2"))
     return f"""
-SELECT {prefix} || CAST(l_orderkey AS STRING) || 'A' || CAST(l_linenumber AS STRING) AS publication_number,
+SELECT prefix || CAST(l_orderkey AS STRING) || 'A' || CAST(l_linenumber AS STRING) AS publication_number,
        'EP' || CAST(l_orderkey * 10 + l_linenumber AS STRING) AS application_number,
-       CASE WHEN l_partkey % 50 = 0 THEN 'WO' ELSE {prefix} END AS country_code,
-       CAST({base} + 1 - 10000 AS INT) AS filing_date,
-       CAST({year('l_shipdate')} * 10000
-            + CASE WHEN l_partkey % 97 = 0 THEN 1340 ELSE month(l_shipdate) * 100 + day(l_shipdate) END AS INT)
-         AS publication_date,
+       CASE WHEN l_partkey % 50 = 0 THEN 'WO' ELSE prefix END AS country_code,
+       CAST(base + 1 - 10000 AS INT) AS filing_date,
+       CAST(CASE WHEN l_partkey % 97 = 0 THEN year * 10000 + 1340 ELSE base + day END AS INT) AS publication_date,
        {d.head(titles, 'CASE WHEN l_suppkey % 5 = 0 THEN 1 ELSE 1 + l_linenumber % 3 END')} AS title_localized,
-       CASE WHEN text IS NOT NULL THEN {abstracts} END AS abstract_localized,
-       CASE WHEN l_linenumber <> 7 THEN {d.head(d.array(*[priority(j) for j in (1, 2, 3)]), 'l_linenumber % 4')} END AS priority_claim,
+       abstract_localized,
+       CASE WHEN l_linenumber <> 7 THEN {d.head(priorities, 'l_linenumber % 4')} END AS priority_claim,
        {d.head(codes, '1 + l_linenumber % 3')} AS cpc,
-       {d.head(d.array(country('l_suppkey % 6'), country('l_partkey % 6')), 'l_linenumber % 3')} AS assignee_harmonized,
-       {d.array(country('CASE WHEN l_partkey % 19 = 0 THEN NULL ELSE (l_suppkey + l_partkey) % 6 END'))} AS inventor_harmonized
-FROM <<lineitem>> LEFT JOIN <<documents>> ON l_orderkey = doc_id"""
+       {d.head(parties, 'l_linenumber % 3')} AS assignee_harmonized,
+       {d.array(d.struct(country_code='inventor'))} AS inventor_harmonized
+FROM <<publication_parts>> LEFT JOIN (SELECT doc_id, {abstracts} AS abstract_localized FROM <<documents>>) d
+  ON l_orderkey = doc_id"""
 
 
 def view_sql(d: Dialect) -> dict[str, str]:
@@ -271,20 +291,38 @@ def view_sql(d: Dialect) -> dict[str, str]:
         "granted_abstracts": GRANTED_ABSTRACTS, "pregrant_abstracts": PREGRANT_ABSTRACTS,
         "claims": CLAIMS, "raw_labels": _RAW_LABELS, "classification": CLASSIFICATION,
         "rater_pair": RATER_PAIR, "answers": ANSWERS, "country": COUNTRY,
-        "model_input": MODEL_INPUT, "event_docs": EVENT_DOCS, "publications": publications(d),
+        "model_input": MODEL_INPUT, "event_docs": EVENT_DOCS, "publication_parts": _publication_parts(), "publication_rows": publications(d),
     }
 
 
 MARK = re.compile(r"<<(\w+)>>")
 
 
+# Folders of the tables landed by a session, by application, input and name.
+_LANDED: dict[tuple[str, str, str], str] = {}
+
+
 class Tables:
-    """Base tables and views as lazy DataFrames."""
+    """Base tables and views as lazy DataFrames.
+
+    The nested publication records are a stored table in real use, so they are landed as Parquet
+    once per session, below the cluster's shared folder, and read from there.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.sql = view_sql(Dialect("spark"))
 
+    def publications(self) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "publications")
+        if key not in _LANDED:
+            path = scratch_dir(self.spark, "publications")
+            # Rebalanced, so that files are even whatever the splits and keys of the source.
+            with small_methods(self.spark):
+                self.publication_rows.hint("rebalance").write.parquet(path)
+            _LANDED[key] = path
+        return read_publications(self.spark, _LANDED[key])
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
