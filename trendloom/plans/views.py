@@ -312,6 +312,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.sql = view_sql(Dialect("spark"))
+        self.known: dict[str, DataFrame] = {}
 
     def publications(self) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, "publications")
@@ -324,10 +325,15 @@ class Tables:
         return read_publications(self.spark, _LANDED[key])
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name not in BASE_TABLES and name not in self.__dict__.get("sql", {}):
+            raise AttributeError(name)
+        if name not in self.known:
+            self.known[name] = self._build(name)
+        return self.known[name]
+
+    def _build(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        if name not in self.__dict__.get("sql", {}):
-            raise AttributeError(name)
         text = self.sql[name]
         parents = {m: getattr(self, m) for m in MARK.findall(text)}
         text = text.replace("{", "{{").replace("}", "}}")
