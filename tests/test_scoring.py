@@ -81,10 +81,12 @@ def test_stream_scores_each_document_once(spark, tmp_path):
     docs(spark, 20, 50).repartition(2).write.mode("append").parquet(landing)
     assert run() == [f"d{i:03d}" for i in range(50)]
     assert run() == [f"d{i:03d}" for i in range(50)]
-    # A lost checkpoint replays every file; results stay single.
+    # A stream begun afresh sees every file again, yet each document keeps its one result.
+    docs(spark, 50, 55).coalesce(1).write.mode("append").parquet(landing)
     score_landing(spark, landing, schema, out, log + "2", label_texts, RESULTS)
-    found = scoring.latest_results(scoring.read_results(spark, out, RESULTS))
-    assert found.count() == 50
+    found = scoring.read_results(spark, out, RESULTS)
+    assert sorted(r.doc_id for r in found.collect()) == [f"d{i:03d}" for i in range(55)]
+    assert found.select("run").distinct().count() == 2
 
 
 def test_trained_labeller(spark):

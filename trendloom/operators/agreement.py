@@ -17,10 +17,15 @@ def confusion(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
 
 
 def cohen_kappa(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
-    """(po - pe) / (1 - pe) for any number of classes.
+    """(po - pe) / (1 - pe) for any number of classes."""
+    return kappa_of_table(confusion(df, a, b, *by), a, b, *by)
 
-    Each cell of the contingency table adds to the margin of its two classes, so the margins
-    come from one grouping of the small table.
+
+def kappa_of_table(table: DataFrame, a: str, b: str, *by: str) -> DataFrame:
+    """The same from contingency cells; a finer table than ``by`` is summed up.
+
+    Each cell adds to the margins of its two classes, so one grouping of the small table gives
+    them all.
     """
     none = F.lit(0).cast("bigint")
     same = F.when(F.col(a) == F.col(b), F.col("n")).otherwise(none)
@@ -30,7 +35,7 @@ def cohen_kappa(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
 
     margins = F.array(margin(a, F.col("n"), none, same), margin(b, none, F.col("n"), none))
     classes = (
-        confusion(df, a, b, *by).select(*by, F.explode(margins).alias("m")).select(*by, "m.*")
+        table.select(*by, F.explode(margins).alias("m")).select(*by, "m.*")
         .groupBy(*by, "label").agg(F.sum("row").alias("row"), F.sum("col").alias("col"), F.sum("agree").alias("agree"))
     )
     totals = classes.groupBy(*by).agg(
@@ -76,10 +81,10 @@ def agreement_rate(df: DataFrame, flags: Sequence[str], pairs: Mapping[str, tupl
 
 def combine_batches(df: DataFrame, a: str, b: str, batch: str) -> DataFrame:
     """Agreement per batch, its mean weighted by rows, and the value over all rows pooled."""
-    per_batch = cohen_kappa(df, a, b, batch).select(F.col(batch).cast("string").alias("batch"), "n", "kappa")
-    weighted = weighted_mean(per_batch)
-    pooled = cohen_kappa(df, a, b).select(F.lit("pooled").alias("batch"), "n", "kappa")
-    return per_batch.unionByName(weighted).unionByName(pooled)
+    table = confusion(df, a, b, batch)
+    per_batch = kappa_of_table(table, a, b, batch).select(F.col(batch).cast("string").alias("batch"), "n", "kappa")
+    pooled = kappa_of_table(table, a, b).select(F.lit("pooled").alias("batch"), "n", "kappa")
+    return per_batch.unionByName(weighted_mean(per_batch)).unionByName(pooled)
 
 
 def weighted_mean(per_batch: DataFrame, value: str = "kappa") -> DataFrame:

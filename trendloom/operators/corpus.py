@@ -21,22 +21,19 @@ def universe_counts(universe: DataFrame) -> DataFrame:
     return counts.select(F.coalesce("kind", F.lit("total")).alias("kind"), "n")
 
 
-def bulk_keys(universe: DataFrame) -> DataFrame:
-    """Distinct keys under which the universe may be listed in bulk files."""
-    doc_id = F.col("doc_id")
-    known = universe.where(ids.id_kind(doc_id) != "unknown")
-    return known.select(ids.join_key(doc_id).alias("key"), ids.claim_file_kind(doc_id).alias("claim_type")).distinct()
+def bulk_keys(universe: DataFrame, claim_type: str | None = None) -> DataFrame:
+    """Distinct keys under which the universe may be listed in bulk files (of one kind)."""
+    kind = ids.claim_file_kind(F.col("doc_id"))
+    known = universe.where(kind == claim_type if claim_type else kind.isNotNull())
+    return known.select(ids.join_key(F.col("doc_id")).alias("key")).distinct()
 
 
 def restrict_to_universe(
     bulk: DataFrame, universe: DataFrame, id_col: str, claim_type: str | None = None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Bulk rows whose id, with or without the reissue prefix, belongs to the universe."""
-    keys = bulk_keys(universe)
-    if claim_type:
-        keys = keys.where(F.col("claim_type") == claim_type)
     keyed = bulk.withColumn("key", ids.join_key(F.col(id_col)))
-    return membership_join(keyed, keys.select("key").distinct(), ["key"], "left_semi", hot_rows).drop("key")
+    return membership_join(keyed, bulk_keys(universe, claim_type), ["key"], "left_semi", hot_rows).drop("key")
 
 
 # --- text assembly ---------------------------------------------------------

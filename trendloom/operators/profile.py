@@ -104,13 +104,17 @@ def share_of_total(df: DataFrame, column: str) -> DataFrame:
 
 
 def conditional_share_by_year(df: DataFrame, condition: Column, *by: str) -> DataFrame:
-    """Share of rows meeting the condition among all rows of a year; NULL for an empty year."""
+    """Share of rows meeting the condition among all rows of a year; NULL for an empty year.
+
+    A group's few yearly shares are gathered in a map and spread over the axis, so the input is
+    scanned once.
+    """
     rows = df.where(F.col("year").between(FIRST_YEAR, LAST_YEAR))
     rates = rows.groupBy(*by, "year").agg(
         (F.count_if(condition) * 100 / F.count(F.lit(1))).alias("share")
     )
-    groups = rates.select(*by).distinct() if by else df.sparkSession.range(1).drop("id")
-    return year_axis(groups).join(rates, [*by, "year"], "left")
+    per_group = rates.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("year", "share"))).alias("shares"))
+    return year_axis(per_group).select(*by, "year", F.try_element_at("shares", F.col("year")).alias("share"))
 
 
 def coverage_report(df: DataFrame, *flags: str) -> DataFrame:
@@ -161,27 +165,38 @@ def all_dimension_profile(df: DataFrame, k: int = 10, dimensions: Sequence[str]
     return counts.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def summary_report(df: DataFrame, k: int = 10) -> DataFrame:
-    """The block report as one table: (section, rank, value, n, pct)."""
-    totals = label_summary(df)
-    lines = [("classified", "total", F.lit(100.0)), ("successful", "success", F.col("success_pct")),
-             ("genuine", "genuine", F.col("genuine_pct")), ("non_genuine", "non_genuine", F.col("non_genuine_pct"))]
-    rows = F.array(
-        *[
-            F.struct(F.lit(i).alias("rank"), F.lit(name).alias("value"), F.col(n).alias("n"), pct.alias("pct"))
-            for i, (name, n, pct) in enumerate(lines, start=1)
-        ]
+def summary_report(df: DataFrame, k: int = 10, dimensions: Sequence[str] = SUMMARY_DIMENSIONS) -> DataFrame:
+    """The block report as one table: (section, rank, value, n, pct).
+
+    Every row contributes its entries to all blocks at once; they are counted in one scan and
+    one shuffle, and only the counts are ranked.
+    """
+    ok = F.col("status") == "success"
+    kept = ok & F.col("is_genuine_ai")
+    lines = {"classified": F.lit(True), "successful": ok, "genuine": kept, "non_genuine": ok & ~F.col("is_genuine_ai")}
+    entries = [F.struct(F.lit("totals").alias("section"), F.when(hit, name).alias("value")) for name, hit in lines.items()]
+    entries += [F.struct(F.lit(d).alias("section"), F.when(kept, F.col(d)).alias("value")) for d in dimensions]
+    entries.append(F.struct(F.lit("year").alias("section"), F.when(kept & F.col("year").isin(YEARS), F.col("year").cast("string")).alias("value")))
+    counts = (
+        df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where(F.col("value").isNotNull())
+        .groupBy("section", "value").agg(F.count(F.lit(1)).alias("n"))
     )
-    head = totals.select(F.explode(rows).alias("r")).select(F.lit("totals").alias("section"), "r.*")
-    kept = genuine(successes(df))
-    no_pct = F.lit(None).cast("double").alias("pct")
-    dims = all_dimension_profile(kept, k).select(F.col("dimension").alias("section"), "rank", "value", "n", no_pct)
-    per_year = count_by_year(kept.where(F.col("year").isin(YEARS)))
-    years = per_year.select(
-        F.lit("year").alias("section"), (F.col("year") - (FIRST_YEAR - 1)).alias("rank"),
-        F.col("year").cast("string").alias("value"), "n", no_pct,
+    section = Window.partitionBy("section")
+    place = F.row_number().over(section.orderBy(F.desc("n"), "value"))
+    rank = (
+        F.when(F.col("section") == "totals", F.array_position(F.array(*map(F.lit, lines)), F.col("value")).cast("int"))
+        .when(F.col("section") == "year", F.col("year_number") - (FIRST_YEAR - 1))
+        .otherwise(place)
     )
-    return head.unionByName(dims).unionByName(years)
+
+    def line(name: str) -> Column:
+        return F.max(F.when(F.col("value") == name, F.col("n"))).over(section)
+
+    base = F.when(F.col("value").isin("classified", "successful"), line("classified")).otherwise(line("successful"))
+    pct = F.when(F.col("section") == "totals", F.col("n") * 100 / base)
+    numbered = counts.withColumn("year_number", F.when(F.col("section") == "year", F.col("value")).cast("int"))
+    report = numbered.select("section", rank.alias("rank"), "value", "n", pct.alias("pct"))
+    return report.where(~F.col("section").isin(list(dimensions)) | (F.col("rank") <= k))
 
 
 def missing_count(df: DataFrame, *columns: str) -> DataFrame:

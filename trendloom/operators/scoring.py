@@ -50,16 +50,15 @@ def unprocessed(
     return membership_join(docs, finished.select(id_col).distinct(), [id_col], "left_anti", hot_rows)
 
 
-def append_results(results: DataFrame, path: str, batch: int) -> None:
+def append_results(results: DataFrame, path: str, batch: int, run: str = "0") -> None:
     """Write one batch below its own folder. Doing it again replaces the batch, so a run broken
-    off half-way can simply be repeated; earlier batches are never rewritten."""
-    results.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+    off half-way can simply be repeated; batches of other numbers or runs are never rewritten."""
+    results.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={run}/batch={batch}")
 
 
 def read_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])).option(
-        "basePath", path
-    ).parquet(path)
+    folders = [T.StructField("run", T.StringType()), T.StructField("batch", T.IntegerType())]
+    return spark.read.schema(T.StructType([*schema.fields, *folders])).option("basePath", path).parquet(path)
 
 
 def latest_results(results: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -840,7 +840,7 @@ def _(t):
     scoring.append_results(label_texts(docs.where(F.col("lang") == "en")), out, 0)
     done = scoring.read_results(t.spark, out, RESULTS)
     scoring.append_results(label_texts(scoring.unprocessed(docs, done)), out, 1)
-    return scoring.latest_results(scoring.read_results(t.spark, out, RESULTS))
+    return scoring.latest_results(scoring.read_results(t.spark, out, RESULTS)).drop("run")
 
 
 @query("incremental_stream")
@@ -851,7 +851,7 @@ def _(t):
     docs.where(F.col("text").contains("error")).coalesce(1).write.mode("append").parquet(landing)
     schema = S.struct(doc_id=S.STRING, text=S.STRING)
     score_landing(t.spark, landing, schema, out, log, label_texts, RESULTS, files_per_batch=2)
-    return scoring.read_results(t.spark, out, RESULTS).drop("batch")
+    return scoring.read_results(t.spark, out, RESULTS).drop("run", "batch")
 
 
 # --- sets, order, comparison -----------------------------------------------

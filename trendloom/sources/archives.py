@@ -79,7 +79,7 @@ def land_archives(spark: SparkSession, root: str, out: str, columns: Sequence[st
     paths = list_archives(spark, root)
     # One archive per task: inflation is serial, so the number of archives sets the parallelism.
     tasks = max(1, min(paths.count(), 10_000))
-    read_archives(paths.repartition(tasks, "path"), columns).write.mode("overwrite").parquet(out)
+    read_archives(paths.repartition(tasks), columns).write.mode("overwrite").parquet(out)
     landed = spark.read.parquet(out)
     per_archive = landed.groupBy("archive").agg(
         F.count_if(F.col("error").isNull()).alias("rows"), F.max("error").alias("error")

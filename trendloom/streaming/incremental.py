@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,11 @@ from trendloom.operators.reshape import keep_first
 from trendloom.operators.scoring import append_results, read_results, unprocessed
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def score_landing(
     spark: SparkSession,
     landing: str,
@@ -27,15 +33,20 @@ def score_landing(
 
     The checkpoint remembers the files taken; ids already in the result table are skipped, so
     the state lives in that table and does not grow in memory. A micro-batch writes its own
-    folder and replaces it when replayed.
+    folder and replaces it when replayed. The folders are kept apart by checkpoint: a stream
+    begun afresh under a new one leaves earlier results alone and skips their ids.
+
+    Every micro-batch reads the ids done so far, so ``files_per_batch`` should be large.
     """
+    run = f"{zlib.crc32(checkpoint.encode()):08x}"
+    seen_before = _exists(spark, out)
 
     def handle(batch: DataFrame, number: int) -> None:
         fresh = keep_first(batch, [id_col])
-        if number > 0:
-            done = read_results(spark, out, result_schema).where(F.col("batch") < number)
-            fresh = unprocessed(fresh, done, id_col)
-        append_results(label(fresh), out, number)
+        if seen_before or number > 0:
+            done = read_results(spark, out, result_schema)
+            fresh = unprocessed(fresh, done.where((F.col("run") != run) | (F.col("batch") < number)), id_col)
+        append_results(label(fresh), out, number, run)
 
     arrivals = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
     query = (
