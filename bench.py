@@ -13,7 +13,7 @@ from trendloom.plans.catalog import QUERIES  # noqa: E402
 from trendloom.session import local_session  # noqa: E402
 
 HEADLINE = [
-    "technique_share_by_year", "candidate_query", "country_query", "first_claim_dedup", "assemble_text",
+    "technique_share_by_year", "scan_publications_nested", "candidate_query", "country_query", "first_claim_dedup", "assemble_text",
     "corpus_left_join", "model_corpus", "restrict_to_universe", "label_corpus", "label_candidates",
     "score_batches", "parse_labels", "build_prompt_full", "resume_checkpoint", "emergence_rate",
     "all_dimension_profile", "fixed_crosstab", "country_breakdown", "two_corpus_compare", "exp_growth_fit",

@@ -26,11 +26,13 @@ def test_batches_carry_their_keys(spark):
         return score
 
     df = spark.range(700, numPartitions=1).select(F.col("id").alias("k"), F.concat(F.lit("p"), "id").alias("prompt"))
-    found = scoring.score_batches(df, make).collect()
+    found = scoring.score_batches(df, make, tasks=1).collect()
     assert len(found) == 700 and all(r.answer.split("|")[0] == f"p{r.k}" for r in found)
     assert max(int(r.answer.split("|")[1]) for r in found) == 3
     spread = scoring.score_batches(df, make, tasks=5)
     assert spread.rdd.getNumPartitions() == 5 and spread.count() == 700
+    balanced = scoring.score_batches(df, make)._jdf.queryExecution().analyzed().toString()
+    assert "RebalancePartitions" in balanced
 
 
 def test_short_answers_are_refused(spark):
@@ -99,3 +101,16 @@ def test_trained_labeller(spark):
 
 def test_stub_is_deterministic():
     assert make_stub()(["a", "b"]) == make_stub()(["a", "b"])
+
+
+def test_tasks_do_not_import_the_package():
+    """Executors need not have the package: what runs there is pickled by value."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    blob = cloudpickle.dumps(make_stub).hex()
+    code = f"from pyspark import cloudpickle; print(cloudpickle.loads(bytes.fromhex('{blob}'))()(['a'])[0])"
+    out = subprocess.run([sys.executable, "-c", code], cwd="/", capture_output=True, text=True, check=True)
+    assert out.stdout.strip() == make_stub()(["a"])[0].strip()

@@ -22,8 +22,8 @@ def score_batches(
     """Replace the prompt column by the model's answers.
 
     ``make_scorer`` runs once per task, where it may load a model. The other columns travel with
-    the prompt, so answers and rows cannot get out of step. ``tasks`` spreads the rows over that
-    many tasks if the input has fewer splits than there are model slots.
+    the prompt, so answers and rows cannot get out of step. A model is far dearer than a shuffle,
+    so the rows are evened out first: over ``tasks`` tasks, or as Spark balances them.
     """
     keys = [f for f in df.schema.fields if f.name != prompt]
     schema = T.StructType([*keys, T.StructField(answer, T.StringType())])
@@ -38,7 +38,7 @@ def score_batches(
                     raise ValueError(f"scorer gave {len(answers)} answers for {len(batch)} prompts")
                 yield batch.drop(columns=prompt).assign(**{answer: answers})
 
-    spread = df.repartition(tasks) if tasks else df
+    spread = df.repartition(tasks) if tasks else df.hint("rebalance")
     return spread.mapInPandas(run, schema)
 
 
