@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from trendloom.functions import answers, text
 from trendloom.operators import corpus, profile, publications, scoring
 from trendloom.schemas import LABELS, SHORT_LABELS
+from trendloom.sources.archives import arrow_location
 
 
 def label_corpus(
@@ -48,10 +49,9 @@ def zip_partitions(rows: DataFrame, root: str) -> int:
     names = rows.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        filesystem, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        filesystem, base = arrow_location(root)
         filesystem.create_dir(base, recursive=True)
         part, written = TaskContext.get().partitionId(), 0
         # Written aside and moved into place, so a task that fails and runs again leaves one file.

@@ -56,4 +56,6 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="trendloom-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/trendloom/{label}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/trendloom/{label}-{uuid.uuid4().hex}")
+    # With its scheme, so that Spark and Arrow mean the same file system.
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()

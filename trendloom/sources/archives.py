@@ -19,12 +19,17 @@ def list_archives(spark: SparkSession, root: str, pattern: str = "*.zip") -> Dat
     return files.select("path", "length")
 
 
-def _open(path: str):
+def arrow_location(path: str):
+    """Arrow's file system and name for a path as Spark writes it (file:/x, hdfs://..., /x)."""
     from pyarrow import fs
 
-    # Spark writes local paths as file:/x where Arrow expects file:///x.
-    uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
-    filesystem, name = fs.FileSystem.from_uri(uri)
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path)
+
+
+def _open(path: str):
+    filesystem, name = arrow_location(path)
     return filesystem.open_input_file(name)
 
 
