@@ -66,9 +66,14 @@ def recall_f1(df: DataFrame, reference: str, predicted: str, *by: str) -> DataFr
     )
 
 
-def agreement_rate(df: DataFrame, flags: Sequence[str], pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
-    """Share of equal values among rows all flags hold for, per named pair (NULL equals NULL)."""
-    rows = df
+def agreement_rate(
+    df: DataFrame, flags: Sequence[str], pairs: Mapping[str, tuple[str, str]], present: Sequence[str] = ()
+) -> DataFrame:
+    """Share of equal values among rows all flags hold for, per named pair (NULL equals NULL).
+
+    ``present`` names columns that must hold a value, e.g. the labels of an older run.
+    """
+    rows = df.dropna(subset=list(present)) if present else df
     for flag in flags:
         rows = rows.where(F.col(flag))
     counts = rows.agg(

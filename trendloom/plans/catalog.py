@@ -782,6 +782,13 @@ def _(t):
     return agreement.agreement_rate(raters(t), ["first_genuine", "second_genuine"], pairs)
 
 
+@query("agreement_with_older_labels")
+def _(t):
+    """Orientation of genuine rows against an older run, where that one has a value."""
+    pairs = {"orientation": ("second_orientation", "first_orientation")}
+    return agreement.agreement_rate(raters(t), ["second_genuine"], pairs, present=["first_orientation"])
+
+
 @query("combine_batches")
 def _(t):
     return agreement.combine_batches(raters(t), "first_genuine", "second_genuine", "office")

@@ -534,6 +534,10 @@ SQL["agreement_rate"] = " UNION ALL ".join(
  round(count(*) FILTER (first_{d} IS NOT DISTINCT FROM second_{d}) * 100 / count(*), 6) AS pct FROM {_JOINT}"""
     for d in ("technique", "orientation")
 )
+SQL["agreement_with_older_labels"] = """
+SELECT 'orientation' AS dimension, count(*) FILTER (first_orientation = second_orientation) AS agree, count(*) AS n,
+       round(count(*) FILTER (first_orientation = second_orientation) * 100 / count(*), 6) AS pct
+FROM <<rater_pair>> WHERE second_genuine AND first_orientation IS NOT NULL"""
 _OFFICE = {
     o: _kappa(f"(SELECT * FROM {_RATED} WHERE office = '{o}')", "first_genuine", "second_genuine") for o in ("USPTO", "EPO")
 }
