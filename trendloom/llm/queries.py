@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.llm import (
-    decontaminate, piece_codec, quality_rules, sharding, span_dedup, token_counts, url_filters,
+    decontaminate, near_dedup, ngram_lm, piece_codec, quality_rules, sharding, span_dedup, suffix_dedup, token_counts, url_filters,
 )
 from trendloom.llm.common import table
 
@@ -55,6 +55,18 @@ def op5_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 8)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op7_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.train_and_score(table(spark, sf_dir, "documents"))
+
+
+def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.find_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -70,7 +82,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_benchmark_decontamination, op3_sentence_spans, op4_sentencepiece, op5_hash_tree_shards,
-        op9_quality_rules, op10_token_counts,
+        op6_suffix_dedup, op7_ngram_trie, op8_lsh_forest, op9_quality_rules, op10_token_counts,
     )
 }
 
