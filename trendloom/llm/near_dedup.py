@@ -230,7 +230,8 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int) -> DataFra
     blocks = F.ceil(F.greatest(F.col("m") / MEMBERS, F.col("n") / HASHES)).cast("int")
     placed = members.join(totals.select("family", blocks.alias("blocks")), "family")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    with_text = placed.join(texts, "doc_id").select("node", "text", "family", "blocks")
+    # Both sides are shuffled at every size: members grow with the corpus, so a broadcast would not last.
+    with_text = placed.join(texts.hint("merge"), "doc_id").select("node", "text", "family", "blocks")
     sets = with_text.mapInArrow(_sets, "node long, family long, blocks int, hashes binary")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # A member of block b meets every block once, its own included.
