@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from trendloom.llm.common import settle, whole_text
 
-LENGTH, REACH, GRAM = 400, 96, 8
+LENGTH, REACH, GRAM = 400, 72, 8
 CORE = LENGTH - REACH + 1
 #: String starts handled at once; runs are cut there too, which the comparison settles.
 PIECE = 1 << 20
