@@ -35,7 +35,7 @@ from trendloom.llm.elias_fano import EliasFano, get, put
 from trendloom.session import scratch_dir
 
 #: Words and successors in a file; bytes of text handled at once.
-WORDS, SUCCESSORS, GROUP = 500_000, 1_000_000, 4_000_000
+WORDS, SUCCESSORS, GROUP = 500_000, 1_000_000, 3_000_000
 DISCOUNT, LEAST, STEPS = 0.75, 2, 32
 #: A word's number while rows are shuffled: its shard above, its place in the shard below.
 SHARD_BIT = 40
