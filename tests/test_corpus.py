@@ -103,3 +103,9 @@ def test_text_flags(rows):
     df = rows("title string, abstract string", [("ab ", "1234567890"), ("abc", " 12345678901 "), (None, None), ("nan", "")])
     flags = [(r.has_title, r.has_abstract) for r in corpus.text_flags(df).collect()]
     assert flags == [(False, False), (True, True), (False, False), (True, False)]
+
+
+def test_first_claims_of_any_year_and_kind(rows):
+    data = [("1", "granted", 2005, "0", "1. A"), ("2", "granted", 2024, "1", "B"), ("3", "design", 2012, "1", "C"), ("3", "design", 2012, "2", "D")]
+    picked = corpus.first_claim(rows("patent_id string, claim_type string, year int, seq string, text string", data))
+    assert sorted(r.text for r in picked.collect()) == ["1. A", "B", "C"]

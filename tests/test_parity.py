@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from parity import compare, connect
+from trendloom.plans import catalog, oracle
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,14 +14,14 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
     rows, _, problem = compare(spark, con, name, SF)
     assert not problem and rows > 0
 
 
 def test_only_the_trained_model_lacks_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"train_text_classifier"}
+    assert set(catalog.QUERIES) - set(oracle.oracle_sql()) == {"train_text_classifier"}
 
 
 def test_entry(spark):

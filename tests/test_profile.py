@@ -96,3 +96,8 @@ def test_two_offices(rows):
     assert table[2012].uspto_fitted == pytest.approx(50.0) and table[2012].epo_fitted is None
     shares = {(r.office, r.technique): r.share for r in compare.technique_comparison(df).collect()}
     assert shares[("USPTO", "Classical ML")] == 100.0 and shares[("EPO", "Classical ML")] == 0.0 and len(shares) == 12
+
+
+def test_crosstab_keeps_unlisted_values(rows):
+    table = profile.crosstab(rows("year int, o string", [(2010, "a"), (2010, "z"), (2011, None), (2011, "y")]), "year", "o", ["a"])
+    assert sorted(tuple(r) for r in table.collect()) == [(2010, 1, 1), (2011, 0, 1)]

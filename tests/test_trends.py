@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +91,28 @@ def test_linear_trend_skips_empty_years(rows):
     df = rows("year int, v double", [(2010, 1.0), (2011, None), (2012, 3.0)])
     found = trends.linear_trend(df, "v").orderBy("year").collect()
     assert [r.slope for r in found] == [1.0] * 3 and found[1].fitted == pytest.approx(2.0)
+
+
+@pytest.mark.parametrize("b", [1.5, -1.5, 6.0])
+def test_steep_growth_is_found(rows, b):
+    data = [(2010 + x, 3.0 * math.exp(b * x)) for x in range(8)]
+    fit = trends.exp_growth_fit(rows("year int, n double", data)).first()
+    assert math.isclose(fit.b, b, abs_tol=1e-5) and fit.r2 > 0.999999
+
+
+def test_growth_takes_all_years(rows):
+    data = [(2001 + x, 50.0 * math.exp(0.2 * x)) for x in range(24)]
+    fit = trends.exp_growth_fit(rows("year int, n double", data)).first()
+    assert fit.n_years == 24 and math.isclose(fit.b, 0.2, abs_tol=1e-6)
+
+
+def test_interval_for_many_rows(rows):
+    data = [("x", k % 2, float(k), 1.0 + 0.5 * (k % 2) + 0.3 * k + (k * 7 % 5) / 10) for k in range(60)]
+    terms = trends.log_log_ols(rows("g string, covid int, log_inv double, log_patents double", data), "g").collect()
+    assert len(terms) == 3 and all(t.ci_low < t.coef < t.ci_high for t in terms)
+    # The published quantile for 57 degrees of freedom.
+    assert all(math.isclose((t.ci_high - t.coef) / t.se, 2.002465, abs_tol=1e-5) for t in terms)
+
+
+def test_jump_needs_the_year_before(rows):
+    assert trends.yoy_jump(rows("year int, n long", [(2018, 5), (2020, 9)])).first().jump is None

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trendloom.functions import ids
 from trendloom.functions.text import blank_to_null, clean_text, longer_than, strip, truncate
 from trendloom.operators.reshape import HOT_ROWS, keep_first, lookup_join, membership_join
-from trendloom.schemas import CLAIM_CHARS, FIRST_YEAR, LAST_YEAR
+from trendloom.schemas import CLAIM_CHARS
 
 
 # --- universe --------------------------------------------------------------
@@ -147,13 +147,10 @@ def first_claim(claims: DataFrame) -> DataFrame:
     """Rows of the first claim: sequence 0 in files that count from 0, else sequence 1.
 
     A file, i.e. a claim type and year, counts from 0 if one of its sequence-0 texts opens with
-    "1.". That is settled by one small aggregate: at most two rows per year of the range, so it
-    is broadcast.
+    "1.". That is settled by one small aggregate, one row per claim file, so it is broadcast. All
+    years and claim types given take part.
     """
-    opening = claims.where(
-        strip(F.col("seq")).isin("0", "1") & F.col("year").between(FIRST_YEAR, LAST_YEAR)
-        & F.col("claim_type").isin("granted", "pregrant")
-    ).withColumn("seq", strip(F.col("seq")))
+    opening = claims.where(strip(F.col("seq")).isin("0", "1")).withColumn("seq", strip(F.col("seq")))
     from_zero = (F.col("seq") == "0") & strip(F.col("text")).startswith("1.")
     files = opening.groupBy("claim_type", "year").agg(
         F.when(F.max(F.coalesce(from_zero, F.lit(False))), "0").otherwise("1").alias("first_seq")

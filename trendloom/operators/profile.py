@@ -64,9 +64,10 @@ def value_counts_topk(df: DataFrame, column: str, k: int) -> DataFrame:
     return value_counts(df, column).orderBy(F.desc("n"), column).limit(k)
 
 
-def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:
-    """Counts as a matrix with one column per listed value, absent cells 0."""
-    table = df.where(F.col(column).isNotNull()).groupBy(row).pivot(column, list(values))
+def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str], rest: str = "not_listed") -> DataFrame:
+    """Counts as a matrix with one column per listed value and one for all others, absent cells 0."""
+    value = F.when(F.col(column).isin(list(values)), F.col(column)).otherwise(rest)
+    table = df.where(F.col(column).isNotNull()).select(row, value.alias(column)).groupBy(row).pivot(column, [*values, rest])
     return table.agg(F.count(F.lit(1))).na.fill(0)
 
 
@@ -99,8 +100,9 @@ def fixed_crosstab(df: DataFrame) -> DataFrame:
 def share_of_total(df: DataFrame, column: str) -> DataFrame:
     """Value count / all rows * 100: rows without a value stay in the denominator."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    return counts.where(F.col(column).isNotNull()).withColumn("share", F.col("n") * 100 / total)
+    # The window runs over aggregated values, one row per value.
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    return counts.withColumn("share", F.col("n") * 100 / total).where(F.col(column).isNotNull())
 
 
 def conditional_share_by_year(df: DataFrame, condition: Column, *by: str) -> DataFrame:
@@ -165,9 +167,15 @@ def all_dimension_profile(df: DataFrame, k: int = 10, dimensions: Sequence[str]
     return counts.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def summary_report(df: DataFrame, k: int = 10, dimensions: Sequence[str] = SUMMARY_DIMENSIONS) -> DataFrame:
+def summary_report(
+    df: DataFrame, k: int = 10, dimensions: Sequence[str] = SUMMARY_DIMENSIONS,
+    cut: Sequence[str] = ("ai_technique", "application_domain"),
+) -> DataFrame:
     """The block report as one table: (section, rank, value, n, pct).
 
+    The dimensions in ``cut`` list their k most frequent values, the others all. Years are ranked
+    by their distance from the start of the period and all listed, also those outside it.
+
     Every row contributes its entries to all blocks at once; they are counted in one scan and
     one shuffle, and only the counts are ranked.
     """
@@ -176,7 +184,7 @@ def summary_report(df: DataFrame, k: int = 10, dimensions: Sequence[str] = SUMMA
     lines = {"classified": F.lit(True), "successful": ok, "genuine": kept, "non_genuine": ok & ~F.col("is_genuine_ai")}
     entries = [F.struct(F.lit("totals").alias("section"), F.when(hit, name).alias("value")) for name, hit in lines.items()]
     entries += [F.struct(F.lit(d).alias("section"), F.when(kept, F.col(d)).alias("value")) for d in dimensions]
-    entries.append(F.struct(F.lit("year").alias("section"), F.when(kept & F.col("year").isin(YEARS), F.col("year").cast("string")).alias("value")))
+    entries.append(F.struct(F.lit("year").alias("section"), F.when(kept, F.col("year").cast("string")).alias("value")))
     counts = (
         df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where(F.col("value").isNotNull())
         .groupBy("section", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -196,7 +204,7 @@ def summary_report(df: DataFrame, k: int = 10, dimensions: Sequence[str] = SUMMA
     pct = F.when(F.col("section") == "totals", F.col("n") * 100 / base)
     numbered = counts.withColumn("year_number", F.when(F.col("section") == "year", F.col("value")).cast("int"))
     report = numbered.select("section", rank.alias("rank"), "value", "n", pct.alias("pct"))
-    return report.where(~F.col("section").isin(list(dimensions)) | (F.col("rank") <= k))
+    return report.where(~F.col("section").isin(list(cut)) | (F.col("rank") <= k))
 
 
 def missing_count(df: DataFrame, *columns: str) -> DataFrame:

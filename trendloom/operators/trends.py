@@ -17,8 +17,9 @@ from trendloom.schemas import COVID_YEARS, FIRST_YEAR, LAST_YEAR, STACK_ORDER
 
 
 def year_over_year(counts: DataFrame) -> DataFrame:
-    """Difference to the year before, absolute and in percent."""
-    previous = F.lag("n").over(Window.orderBy("year"))
+    """Difference to the year before, absolute and in percent; NULL where that year has no row."""
+    order = Window.orderBy("year")
+    previous = F.when(F.lag("year").over(order) == F.col("year") - 1, F.lag("n").over(order))
     jump = counts.withColumn("previous", previous).withColumn("jump", F.col("n") - F.col("previous"))
     return jump.withColumn("pct_jump", F.col("jump") * 100 / F.nullif(F.col("previous"), F.lit(0)))
 
@@ -60,18 +61,19 @@ def first_last_value(shares: DataFrame, category: str, value: str = "share") ->
 
 # --- exponential growth ----------------------------------------------------
 
-GRID, ROUNDS, SHRINK = 100, 4, 50
+GRID, ROUNDS, SHRINK, WIDEN, MOST_ROUNDS = 100, 4, 50, 4, 16
 
 
 def exp_growth_fit(counts: DataFrame, *by: str, origin: int = FIRST_YEAR) -> DataFrame:
     """Least squares of n = a * exp(b * (year - origin)) on the raw counts, per group.
 
-    For a given b the best a has a closed form, so only b is searched: a grid over [-1, 1],
-    then three finer grids around the best point (each 50 times narrower). The search runs on
-    the group's own short array of years, inside one projection. Fewer than three years: NULL.
+    For a given b the best a has a closed form, so only b is searched: a grid over [-1, 1], wider
+    grids as long as the best point lies on the edge, then three finer grids around it (each 50
+    times narrower). The search runs on the group's own short array of years, inside one
+    projection, so the input must have one row per group and year; all years given count. Fewer
+    than three years: NULL.
     """
-    in_period = counts.where(F.col("year").between(FIRST_YEAR, LAST_YEAR))
-    points = in_period.groupBy(*by).agg(
+    points = counts.where(F.col("year").isNotNull()).groupBy(*by).agg(
         F.collect_list(F.struct((F.col("year") - origin).cast("double").alias("x"), F.col("n").cast("double").alias("n"))).alias("points"),
         F.sum(F.col("n").cast("double") * F.col("n")).alias("sum_sq"),
         (F.var_pop("n") * F.count("n")).alias("sst"),
@@ -81,22 +83,21 @@ def exp_growth_fit(counts: DataFrame, *by: str, origin: int = FIRST_YEAR) -> Dat
     def total(term) -> Column:
         return F.aggregate("points", F.lit(0.0), lambda acc, p: acc + term(p))
 
-    def candidate(b: Column, half: Column) -> Column:
+    def candidate(b: Column, half: Column, edge: Column) -> Column:
         weighted = total(lambda p: p["n"] * F.exp(b * p["x"]))
         basis = total(lambda p: F.exp(b * p["x"] * 2))
         return F.struct(
             (F.col("sum_sq") - weighted * weighted / basis).alias("sse"), b.alias("b"),
-            (weighted / basis).alias("a"), (half / SHRINK).alias("half"),
+            (weighted / basis).alias("a"), F.when(edge, half * WIDEN).otherwise(half / SHRINK).alias("half"),
         )
 
     def refine(best: Column, _round: Column) -> Column:
         steps = F.sequence(F.lit(-GRID), F.lit(GRID))
-        return F.array_min(
-            F.transform(steps, lambda i: candidate(best["b"] + i * best["half"] / GRID, best["half"]))
-        )
+        grid = F.transform(steps, lambda i: candidate(best["b"] + i * best["half"] / GRID, best["half"], F.abs(i) == GRID))
+        return F.when(best["half"] < 1.5 / SHRINK**ROUNDS, best).otherwise(F.array_min(grid))
 
     start = F.struct(F.lit(0.0).alias("sse"), F.lit(0.0).alias("b"), F.lit(0.0).alias("a"), F.lit(1.0).alias("half"))
-    rounds = F.sequence(F.lit(1), F.lit(ROUNDS))
+    rounds = F.sequence(F.lit(1), F.lit(MOST_ROUNDS))
     best = F.when(F.col("n_years") >= 3, F.aggregate(rounds, start, refine))
     fits = points.select(*by, "n_years", "sst", best.alias("fit"))
     return fits.select(
@@ -180,8 +181,21 @@ def t_quantile_975(df: int) -> float:
     return low
 
 
-# A per-year table has one row per year, so its degrees of freedom end here.
-MAX_DF = LAST_YEAR - FIRST_YEAR + 1 - 3
+# Quantiles up to here come from a table, later ones from their expansion in 1 / df, whose error is
+# below 1e-8 by then.
+TABLE_DF = 40
+NORMAL_975 = 1.959963984540054
+
+
+def t_quantile_expansion(df: Column) -> Column:
+    z = NORMAL_975
+    terms = (
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    )
+    return sum((F.lit(c) / F.pow(df, F.lit(k)) for k, c in enumerate(terms, 1)), F.lit(z))
 
 
 def log_log_ols(features: DataFrame, *by: str) -> DataFrame:
@@ -212,12 +226,14 @@ def log_log_ols(features: DataFrame, *by: str) -> DataFrame:
             "b_log_inv": F.expr("(svy * scc - scy * scv) / det"),
         }
     )
-    quantiles = F.create_map(*[F.lit(x) for d in range(1, MAX_DF + 1) for x in (d, t_quantile_975(d))])
+    quantiles = F.create_map(*[F.lit(x) for d in range(1, TABLE_DF + 1) for x in (d, t_quantile_975(d))])
     solved = solved.withColumns(
         {
             "b_const": F.expr("my - b_covid * mc - b_log_inv * mv"),
             "sse": F.expr("syy - b_covid * scy - b_log_inv * svy"),
-            "t": F.element_at(quantiles, (F.col("n") - 3).cast("int")),
+            "t": F.when(F.col("n") - 3 <= TABLE_DF, F.element_at(quantiles, (F.col("n") - 3).cast("int"))).otherwise(
+                t_quantile_expansion(F.col("n") - 3)
+            ),
         }
     ).withColumn("s2", F.expr("sse / nullif(greatest(n - 3, 0), 0)"))
     terms = F.array(

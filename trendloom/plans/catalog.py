@@ -97,7 +97,7 @@ def _(t):
 @query("land_zip_archives")
 def _(t):
     root, out = scratch_dir(t.spark, "zip"), scratch_dir(t.spark, "landed")
-    lifecycle.zip_partitions(t.claims.select("patent_id", "seq", "text").repartition(8, "patent_id"), root)
+    lifecycle.zip_partitions(t.claims.select("patent_id", "seq", "text").repartition("patent_id"), root)
     archives.land_archives(t.spark, root, out, ["patent_id", "seq", "text"])
     return t.spark.read.parquet(out).where(F.col("error").isNull()).select("patent_id", "seq", "text")
 
@@ -107,12 +107,14 @@ def _(t):
     root = scratch_dir(t.spark, "yearly")
     prefix = F.when(F.col("claim_type") == "granted", "g").otherwise("pg")
     rows = t.claims.withColumn("file", F.format_string("%s_claims_%d.tsv", prefix, "year"))
-    line = F.concat_ws("\t", "patent_id", "seq", "text")
-    # One shuffle by file keeps the output at one file per kind and year per task.
-    rows = rows.repartition("file")
-    write_lines(rows.where(F.col("claim_type") == "granted"), "patent_id\tclaim_sequence\tclaim_text", line, f"{root}/g", "file")
-    write_lines(rows.where(F.col("claim_type") == "pregrant"), "document_number\tclaim_sequence\tclaim_text", line, f"{root}/pg", "file")
-    files = {"granted": f"{root}/g/file=g_claims_*.tsv", "pregrant": f"{root}/pg/file=pg_claims_*.tsv"}
+    # A few tasks write each year, so that the years' sizes don't bound the writers; even years order their columns otherwise.
+    rows = rows.repartition("file", F.pmod(F.xxhash64("patent_id"), F.lit(2)))
+    for folder, kind, number in (("g", "granted", "patent_id"), ("pg", "pregrant", "document_number")):
+        own = rows.where(F.col("claim_type") == kind)
+        straight, turned = F.concat_ws("\t", "patent_id", "seq", "text"), F.concat_ws("\t", "text", "patent_id", "seq")
+        write_lines(own.where("year % 2 = 1"), f"{number}\tclaim_sequence\tclaim_text", straight, f"{root}/{folder}1", "file")
+        write_lines(own.where("year % 2 = 0"), f"claim_text\t{number}\tclaim_sequence", turned, f"{root}/{folder}0", "file")
+    files = {"granted": f"{root}/g[01]/file=g_claims_*.tsv", "pregrant": f"{root}/pg[01]/file=pg_claims_*.tsv"}
     return delimited.read_yearly_claims(t.spark, files)
 
 
@@ -855,7 +857,7 @@ def _(t):
     landing, out, log = (scratch_dir(t.spark, n) for n in ("landing", "results", "log"))
     docs = t.event_docs
     docs.repartitionByRange(4, "doc_id").write.parquet(landing)
-    docs.where(F.col("text").contains("error")).coalesce(1).write.mode("append").parquet(landing)
+    docs.where(F.col("text").contains("error")).write.mode("append").parquet(landing)
     schema = S.struct(doc_id=S.STRING, text=S.STRING)
     score_landing(t.spark, landing, schema, out, log, label_texts, RESULTS, files_per_batch=2)
     return scoring.read_results(t.spark, out, RESULTS).drop("run", "batch")

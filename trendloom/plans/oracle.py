@@ -250,7 +250,8 @@ SQL["value_counts_topk"] = f"""
 SELECT application_domain, count(*) AS n FROM {GENUINE} WHERE application_domain IS NOT NULL
 GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10"""
 SQL["crosstab"] = f"""
-SELECT year, {", ".join(f"count(*) FILTER (innovation_orientation = '{o}') AS {o}" for o in S.ORIENTATIONS)}
+SELECT year, {", ".join(f"count(*) FILTER (innovation_orientation = '{o}') AS {o}" for o in S.ORIENTATIONS)},
+ count(*) FILTER (innovation_orientation NOT IN ({quoted(S.ORIENTATIONS)})) AS not_listed
 FROM {GENUINE} WHERE innovation_orientation IS NOT NULL GROUP BY year"""
 SQL["fixed_crosstab"] = f"""
 WITH r AS (SELECT CAST(unnest(range(8)) AS INT) AS row_pos, unnest([{quoted(S.HEATMAP_TECHS)}]) AS tech_grouped2),

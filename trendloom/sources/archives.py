@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendloom.sources.delimited import resolve_columns
+
 CHUNK_ROWS = 50_000
 
 
@@ -33,19 +35,29 @@ def _open(path: str):
     return filesystem.open_input_file(name)
 
 
-def read_archives(paths: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The named columns of the first .tsv member of every archive, plus status rows.
+def read_archives(paths: DataFrame, roles: Mapping[str, Sequence[Sequence[str]]] | Sequence[str]) -> DataFrame:
+    """Columns of the first .tsv member of every archive, plus status rows.
+
+    ``roles`` are resolved by each archive's own header, as in ``resolve_columns``; plain names must
+    be there as they are. An archive without one of them fails and names the headers it has.
 
     A deflated member can only be read from its start, so one archive is one unit of work; it is
     streamed in chunks and never held whole. A broken archive yields one row with its ``error``
     and no fields instead of failing the job. Lines with too many fields are skipped.
     """
-    names = list(columns)
+    names = list(roles)
     schema = ", ".join(["archive string", "error string", *[f"`{c}` string" for c in names]])
 
     def failure(path: str, why: Exception | str) -> pd.DataFrame:
         return pd.DataFrame([{"archive": path, "error": str(why), **dict.fromkeys(names)}])
 
+    def source(header: list[str]) -> dict[str, str]:
+        if isinstance(roles, Mapping):
+            return resolve_columns(header, roles)
+        if missing := [n for n in names if n not in header]:
+            raise ValueError(f"no column for {missing}; found {header}")
+        return {n: n for n in names}
+
     def chunks(path: str) -> Iterator[pd.DataFrame]:
         with _open(path) as handle, zipfile.ZipFile(handle) as archive:
             member = next((n for n in archive.namelist() if n.endswith(".tsv")), None)
@@ -58,7 +70,7 @@ def read_archives(paths: DataFrame, columns: Sequence[str]) -> DataFrame:
             )
             for frame in frames:
                 frame.columns = [c.strip() for c in frame.columns]
-                kept = frame.reindex(columns=names).astype(object)
+                kept = frame[[source(list(frame.columns))[n] for n in names]].set_axis(names, axis=1).astype(object)
                 kept = kept.where(kept.notna(), None)
                 kept.insert(0, "error", None)
                 kept.insert(0, "archive", path)
@@ -75,16 +87,17 @@ def read_archives(paths: DataFrame, columns: Sequence[str]) -> DataFrame:
     return paths.select("path").mapInPandas(run, schema)
 
 
-def land_archives(spark: SparkSession, root: str, out: str, columns: Sequence[str]) -> DataFrame:
+def land_archives(
+    spark: SparkSession, root: str, out: str, roles: Mapping[str, Sequence[Sequence[str]]] | Sequence[str]
+) -> DataFrame:
     """Unpack all archives of a folder into Parquet; returns one status row per archive.
 
     A member that breaks off half-way keeps the rows before the break and its error row, so the
     caller sees that the archive is incomplete.
     """
     paths = list_archives(spark, root)
-    # One archive per task: inflation is serial, so the number of archives sets the parallelism.
-    tasks = max(1, min(paths.count(), 10_000))
-    read_archives(paths.repartition(tasks), columns).write.mode("overwrite").parquet(out)
+    # About one archive per task: inflation is serial, so the number of archives sets the parallelism.
+    read_archives(paths.repartitionByRange(max(1, paths.count()), "path"), roles).write.mode("overwrite").parquet(out)
     landed = spark.read.parquet(out)
     per_archive = landed.groupBy("archive").agg(
         F.count_if(F.col("error").isNull()).alias("rows"), F.max("error").alias("error")

@@ -88,28 +88,39 @@ def claim_files(root: str) -> dict[str, str]:
     return {"granted": f"{root.rstrip('/')}/g_claims_*.tsv", "pregrant": f"{root.rstrip('/')}/pg_claims_*.tsv"}
 
 
+def files_by_header(spark: SparkSession, pattern: str) -> dict[tuple[str, ...], list[str]]:
+    """Paths of tab-separated files by their header; only the first line of each file is read."""
+    found: dict[tuple[str, ...], list[str]] = {}
+    for path in sorted(spark.read.text(pattern).inputFiles()):
+        header = tuple(name.strip() for name in spark.read.csv(path, sep="\t", header=True, quote='"', escape='"').columns)
+        if header:
+            found.setdefault(header, []).append(path)
+    return found
+
+
 def read_yearly_claims(
     spark: SparkSession, files: Mapping[str, str], first: int = FIRST_YEAR, last: int = LAST_YEAR
 ) -> DataFrame:
     """All claim files, one path pattern per kind; the year is taken from the file name.
 
-    The kinds name their columns differently, so each is read by its own header; within a kind
-    all years are one read, and a year without a file is simply absent.
+    Columns are named and ordered differently from kind to kind and from year to year, so every
+    file's own header counts: files with equal headers are one read. A header without a role is an
+    error; a year without a file is simply absent.
     """
-    kinds = []
+    parts = []
     for claim_type, pattern in files.items():
-        header = [name.strip() for name in spark.read.csv(pattern, sep="\t", header=True).columns]
-        rows = read_bulk_tsv(spark, pattern, T.StructType([T.StructField(name, T.StringType()) for name in header]))
-        found = resolve_columns(header, CLAIM_ROLES)
-        year = F.regexp_extract("file_path", r"_claims_([0-9]{4})\.tsv", 1)
-        kinds.append(
-            rows.select(
-                strip(F.col(f"`{found['patent_id']}`")).alias("patent_id"), F.lit(claim_type).alias("claim_type"),
-                year.cast("int").alias("year"), strip(F.col(f"`{found['seq']}`")).alias("seq"),
-                F.col(f"`{found['text']}`").alias("text"),
+        for header, paths in files_by_header(spark, pattern).items():
+            rows = read_bulk_tsv(spark, paths, T.StructType([T.StructField(name, T.StringType()) for name in header]))
+            found = resolve_columns(header, CLAIM_ROLES)
+            year = F.regexp_extract("file_path", r"_claims_([0-9]{4})\.tsv", 1)
+            parts.append(
+                rows.select(
+                    strip(F.col(f"`{found['patent_id']}`")).alias("patent_id"), F.lit(claim_type).alias("claim_type"),
+                    year.cast("int").alias("year"), strip(F.col(f"`{found['seq']}`")).alias("seq"),
+                    F.col(f"`{found['text']}`").alias("text"),
+                )
             )
-        )
-    rows = reduce(DataFrame.unionByName, kinds)
+    rows = reduce(DataFrame.unionByName, parts)
     return rows.where(F.col("year").between(first, last))
 
 
