@@ -43,12 +43,6 @@ def _spans(parts: Column, width: int, min_words: int) -> Column:
     return let(F.transform(parts, lambda s: F.size(F.split(s, BLANKS))), span)
 
 
-def _cut(docs: DataFrame) -> DataFrame:
-    text = whole_text()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text.alias("text"))
-    return rows.select("row", "id", F.xxhash64("text").alias("of"), "text", sentences(F.col("text")).alias("parts"))
-
-
 def remove_repeated_spans(docs: DataFrame, width: int = WIDTH, min_words: int = MIN_WORDS) -> DataFrame:
     """Columns ``row`` (the input row), ``n_sentences``, ``removed`` (places of sentences removed,
     from 0, sorted) and ``kept_text``.
@@ -57,14 +51,20 @@ def remove_repeated_spans(docs: DataFrame, width: int = WIDTH, min_words: int =
     blanks. Rows equal in ``doc_id`` and text are one document and share its verdict; a missing
     ``doc_id`` comes before all others; missing and empty texts have no span.
     """
-    spans = _cut(docs).select("id", "of", F.explode(let(F.col("parts"), lambda p: _spans(p, width, min_words))).alias("s"))
+    texts = docs.select(F.col("doc_id").alias("id"), whole_text().alias("text"))
+    cut = texts.select("id", F.xxhash64("text").alias("of"), sentences(F.col("text")).alias("parts"))
+    spans = cut.select("id", "of", F.explode(let(F.col("parts"), lambda p: _spans(p, width, min_words))).alias("s"))
     placed = spans.select("s.h1", "s.h2", F.struct("id", "of", "s.at").alias("place"))
     firsts = placed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first != last")
     later = placed.join(firsts, ["h1", "h2"]).where("place != first")
     covered = F.explode(F.sequence(F.col("place.at"), F.col("place.at") + width - 1))
     gone = later.select("place.id", "place.of", covered.alias("at")).groupBy("id", "of").agg(F.collect_set("at").alias("gone"))
-    d, g = _cut(docs).alias("d"), gone.alias("g")
-    joined = d.join(g, F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.of") == F.col("g.of")), "left")
+    # The row is shuffled once; its text is cut again behind the join.
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(whole_text()).alias("of"))
+    d, g = keyed.alias("d"), gone.alias("g")
+    matched = d.join(g, F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.of") == F.col("g.of")), "left")
+    texts = matched.select("row", "gone", whole_text("row.text").alias("text"))
+    joined = texts.select("row", "gone", "text", sentences(F.col("text")).alias("parts"))
     every = F.when(F.size("parts") > 0, F.sequence(F.lit(0), F.size("parts") - 1)).otherwise(F.array().cast("array<int>"))
     known = joined.select("row", "text", "parts", every.alias("every"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     cut = known.select("row", "text", "parts", F.array_sort(F.array_intersect("gone", "every")).alias("removed"), F.array_except("every", "gone").alias("stay"))
