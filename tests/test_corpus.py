@@ -34,7 +34,7 @@ def t(rows):
     return Inputs
 
 
-@pytest.mark.parametrize("hot_rows", [1, 10**6])
+@pytest.mark.parametrize("hot_rows", [1, None])
 def test_assemble_text(t, hot_rows):
     df = corpus.assemble_text(t.universe, t.titles, t.granted, t.pregrant, hot_rows)
     found = sorted(tuple(r) for r in df.collect())
@@ -67,7 +67,7 @@ def test_first_claims(t):
     assert coverage[:4] == (4, 1, 4, 6) and coverage.coverage_pct == pytest.approx(400 / 6)
 
 
-@pytest.mark.parametrize("hot_rows", [1, 10**6])
+@pytest.mark.parametrize("hot_rows", [1, None])
 def test_one_plan_equals_the_steps(t, hot_rows):
     texts = corpus.assemble_text(t.universe, t.titles, t.granted, t.pregrant)
     claims = corpus.first_claim_dedup(corpus.claim_records(t.claims, t.universe))
@@ -81,7 +81,7 @@ def test_one_plan_equals_the_steps(t, hot_rows):
     assert (missing.title, missing.abstract, missing.has_abstract, missing.has_claim) == (None, None, False, False)
 
 
-@pytest.mark.parametrize("hot_rows", [1, 10**6])
+@pytest.mark.parametrize("hot_rows", [1, None])
 def test_universe(t, hot_rows):
     assert {r.kind: r.n for r in corpus.universe_counts(t.universe).collect()} == {
         "granted": 3, "pregrant": 2, "reissue": 2, "unknown": 1, "total": 8,

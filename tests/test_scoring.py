@@ -60,14 +60,56 @@ def test_retry_of_failures(spark):
     done = spark.createDataFrame([("a", "success"), ("b", "parse_error"), ("b", "parse_error")], "doc_id string, status string")
     todo = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "doc_id string")
     names = lambda df: sorted(r.doc_id for r in df.collect())
-    for hot_rows in (1, 10**6):
+    for hot_rows in (1, None):
         assert names(scoring.unprocessed(todo, done, hot_rows=hot_rows)) == ["c", "c"]
         assert names(scoring.unprocessed(todo, done, retry_failed=True, hot_rows=hot_rows)) == ["b", "c", "c"]
     results = spark.createDataFrame(
-        [("a", "parse_error", 1), ("a", "success", 0), ("b", "parse_error", 0), ("b", "parse_error", 2)],
-        "doc_id string, status string, batch int",
+        [("a", "parse_error", 1, "0"), ("a", "success", 0, "0"), ("b", "parse_error", 0, "0"), ("b", "parse_error", 2, "0"),
+         ("c", "error", 9, "1000-ff"), ("c", "error", 1, "20000-aa")],
+        "doc_id string, status string, batch int, run string",
     )
-    assert sorted(tuple(r) for r in scoring.latest_results(results).collect()) == [("a", "success", 0), ("b", "parse_error", 2)]
+    found = sorted(tuple(r)[:3] for r in scoring.latest_results(results).collect())
+    assert found == [("a", "success", 0), ("b", "parse_error", 2), ("c", "error", 1)]
+
+
+def test_failing_documents_get_a_row(spark):
+    def make():
+        def score(prompts):
+            if any(p in ("p3", "p7") for p in prompts):
+                raise RuntimeError("no answer")
+            return [p.upper() for p in prompts]
+
+        return score
+
+    df = spark.range(20, numPartitions=1).select(F.concat(F.lit("p"), "id").alias("k"), F.concat(F.lit("p"), "id").alias("prompt"))
+    found = scoring.score_batches(df, make, batch_rows=5, tasks=1, error="problem").collect()
+    assert {r.k: r.answer for r in found} == {f"p{i}": None if i in (3, 7) else f"P{i}" for i in range(20)}
+    assert {r.k for r in found if r.problem == "RuntimeError: no answer"} == {"p3", "p7"}
+    with pytest.raises(Exception, match="no answer"):
+        scoring.score_batches(df, make, tasks=1).collect()
+
+
+def test_broken_run_goes_on(spark, tmp_path):
+    out, calls = str(tmp_path / "out"), []
+
+    def label(part, tasks):
+        if len(calls) == 3:
+            raise RuntimeError("broken off")
+        calls.append(tasks)
+        return part.select("doc_id", F.lit("success").alias("status"), F.lit(len(calls)).alias("call"))
+
+    everything = docs(spark, 0, 50).coalesce(1)
+    with pytest.raises(RuntimeError):
+        scoring.run_resumable(everything, label, out, rows_per_task=10, tasks_per_write=2)
+    assert calls[1:] == [2, 2]  # the first call is asked for its columns only
+    calls[:] = [0] * 4
+    found = scoring.run_resumable(everything, label, out, rows_per_task=10, tasks_per_write=2)
+    assert sorted(r.doc_id for r in found.collect()) == [f"d{i:03d}" for i in range(50)]
+    assert calls[4:] == [1, 1]  # columns, then the ten documents left
+    assert found.where("call = 6").count() == 10
+    assert scoring.read_results(spark, out, S.struct(doc_id=S.STRING)).count() == 50
+    empty = scoring.run_resumable(everything.limit(0), label, str(tmp_path / "none"))
+    assert empty.count() == 0
 
 
 def test_stream_scores_each_document_once(spark, tmp_path):

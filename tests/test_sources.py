@@ -104,3 +104,10 @@ def test_sinks(spark, tmp_path, rows):
     sinks.write_projected(both, ["b", "id", "absent"], path, "csv")
     back = delimited.read_csv_strings(spark, path)
     assert back.columns == ["b", "id"] and back.count() == 2
+
+
+def test_quoted_line_breaks_in_bulk_files(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text('patent_id\tseq\ttext\n1\t0\t"first\nsecond ""line"""\n2\t0\tplain\n')
+    schema = S.struct(patent_id=S.STRING, seq=S.STRING, text=S.STRING)
+    found = delimited.read_bulk_tsv(spark, str(tmp_path), schema, multi_line=True).drop("file_path").collect()
+    assert sorted(tuple(r) for r in found) == [("1", "0", 'first\nsecond "line"'), ("2", "0", "plain")]

@@ -1,4 +1,8 @@
-"""Universe, text assembly and first-claim selection."""
+"""Universe, text assembly and first-claim selection.
+
+Joins here are on document ids, of which no one holds a large share of the rows; ``hot_rows`` makes
+them count the rows per id first and split ids beyond it, at the price of a second scan.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trendloom.functions import ids
 from trendloom.functions.text import blank_to_null, clean_text, longer_than, strip, truncate
-from trendloom.operators.reshape import HOT_ROWS, keep_first, lookup_join, membership_join
+from trendloom.operators.reshape import keep_first, lookup_join, membership_join
 from trendloom.schemas import CLAIM_CHARS
 
 
@@ -29,7 +33,7 @@ def bulk_keys(universe: DataFrame, claim_type: str | None = None) -> DataFrame:
 
 
 def restrict_to_universe(
-    bulk: DataFrame, universe: DataFrame, id_col: str, claim_type: str | None = None, hot_rows: int = HOT_ROWS
+    bulk: DataFrame, universe: DataFrame, id_col: str, claim_type: str | None = None, hot_rows: int | None = None
 ) -> DataFrame:
     """Bulk rows whose id, with or without the reissue prefix, belongs to the universe."""
     keyed = bulk.withColumn("key", ids.join_key(F.col(id_col)))
@@ -57,7 +61,7 @@ def assemble_text(
     granted_titles: DataFrame,
     granted_abstracts: DataFrame,
     pregrant_abstracts: DataFrame,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Title and abstract of every universe row: granted files first, then pre-grant, then ''."""
     docs = universe.select("doc_id", ids.document_key(F.col("doc_id")).alias("key"))
@@ -78,7 +82,7 @@ def model_corpus(
     granted_abstracts: DataFrame,
     pregrant_abstracts: DataFrame,
     claims: DataFrame,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """The merged table straight from the bulk tables.
 
@@ -116,7 +120,7 @@ def presence_flags(df: DataFrame, abstract: str = "abstract", claim: str = "clai
 
 
 def corpus_left_join(
-    universe: DataFrame, abstracts: DataFrame, claims: DataFrame, hot_rows: int = HOT_ROWS
+    universe: DataFrame, abstracts: DataFrame, claims: DataFrame, hot_rows: int | None = None
 ) -> DataFrame:
     """Every universe row with its title, abstract and first claim."""
     texts = abstracts.select(

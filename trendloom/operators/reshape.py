@@ -6,22 +6,23 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-# A key with more rows than this is split over several tasks.
+# A key with more rows than this is split into parts of about this many rows.
 HOT_ROWS = 1_000_000
-SPLITS = 64
+SLICES = 64
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column] = ()) -> DataFrame:
     """One row per key, the first under ``order``; remaining columns settle ties.
 
-    A minimum over structs combines map-side, so copies of one key never meet in one sort, as
-    they would under ``row_number``.
+    A minimum over structs combines map-side, so a task passes on one row per key, however many
+    copies there are. Columns named in ``order`` stand first in the struct and are stored once.
     """
-    rest = [c for c in df.columns if c not in keys]
-    ranks = [(F.col(o) if isinstance(o, str) else o).alias(f"_o{i}") for i, o in enumerate(order)]
-    row = F.struct(*ranks, *[F.col(c) for c in rest])
+    named = [o for o in order if isinstance(o, str)]
+    ranks = [F.col(o) if isinstance(o, str) else o.alias(f"_o{i}") for i, o in enumerate(order)]
+    row = F.struct(*ranks, *[F.col(c) for c in df.columns if c not in keys and c not in named])
     first = df.groupBy(*keys).agg(F.min(row).alias("_first"))
     return first.select(*[F.col(c) if c in keys else F.col("_first")[c].alias(c) for c in df.columns])
 
@@ -36,7 +37,7 @@ def top_n(
     n of its group is among the first n of its slice. The slice depends on the input split only.
     """
     by = [F.col(o) if isinstance(o, str) else o for o in order]
-    spread = df.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(SPLITS)))
+    spread = df.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(SLICES)))
     in_slice = Window.partitionBy(*keys, "_slice").orderBy(*by)
     survivors = spread.withColumn("_local", F.row_number().over(in_slice)).where(F.col("_local") <= n)
     overall = Window.partitionBy(*keys).orderBy(*by) if keys else Window.partitionBy(F.lit(0)).orderBy(*by)
@@ -48,22 +49,26 @@ def top_n(
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows: at most rows / hot_rows of them, hence small."""
+    """Keys with more than ``hot_rows`` rows and the parts to split them into: at most
+    rows / hot_rows keys, hence small."""
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.where(F.col("_n") > hot_rows).select(*on, F.lit(True).alias("_hot"))
+    return counts.where(F.col("_n") > hot_rows).select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts"))
 
 
 def _salted(df: DataFrame, hot: DataFrame, on: Sequence[str]) -> DataFrame:
     """Spread the rows of hot keys. The salt depends on the row and its input split only, so a
-    task run again after an executor loss gives every row the same salt."""
-    salt = F.pmod(F.xxhash64(*df.columns, F.spark_partition_id()), F.lit(SPLITS)).cast("int")
-    flagged = df.withColumn("_spread", salt).join(F.broadcast(hot), list(on), "left")
-    return flagged.withColumn("_salt", F.when(F.col("_hot"), F.col("_spread")).otherwise(0)).drop("_spread", "_hot")
+    task run again after an executor loss gives every row the same salt. Of texts only the size
+    is hashed: long ones would cost more to hash than to move."""
+    size = {f.name: F.octet_length(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, T.StringType)}
+    spread = F.xxhash64(*[size.get(c, F.col(f"`{c}`")) for c in df.columns], F.spark_partition_id())
+    flagged = df.withColumn("_spread", spread).join(F.broadcast(hot), list(on), "left")
+    salt = F.coalesce(F.pmod(F.col("_spread"), F.col("_parts")).cast("int"), F.lit(0))
+    return flagged.withColumn("_salt", salt).drop("_spread", "_parts")
 
 
 def _replicated(df: DataFrame, hot: DataFrame, on: Sequence[str]) -> DataFrame:
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPLITS - 1))).otherwise(F.array(F.lit(0)))
-    return df.join(F.broadcast(hot), list(on), "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    salts = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
+    return df.join(F.broadcast(hot), list(on), "left").withColumn("_salt", F.explode(salts)).drop("_parts")
 
 
 def lookup_join(
@@ -71,26 +76,32 @@ def lookup_join(
     on: Sequence[str],
     lookups: Sequence[tuple[DataFrame, Sequence[str | Column]]],
     how: str = "left",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Join lookup tables, each cut to its first row per key under the order given with it.
 
-    Left rows are kept as often as they occur. The left side is shuffled once for all lookups
-    and every lookup once, since its reduction and its join use the same keys.
+    Left rows are kept as often as they occur. Lookups are reduced before their hot keys are
+    repeated. With ``hot_rows=None`` no keys are counted or split: the left side is read and
+    shuffled once and every lookup once, which is right where the key is an id of the left side.
     """
-    hot = hot_keys(left, on, hot_rows)
-    out = _salted(left, hot, on)
-    keys = [*on, "_salt"]
+    out, keys = left, list(on)
+    if hot_rows:
+        hot = hot_keys(left, on, hot_rows)
+        out, keys = _salted(left, hot, on), [*on, "_salt"]
     for table, order in lookups:
-        first = keep_first(_replicated(table, hot, on), keys, order)
-        out = out.join(first, keys, how)
+        first = keep_first(table, on, order)
+        out = out.join(_replicated(first, hot, on) if hot_rows else first, keys, how)
     return out.select(*left.columns, *[c for t, _ in lookups for c in t.columns if c not in on])
 
 
 def membership_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str, hot_rows: int = HOT_ROWS
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
-    """``left_semi`` / ``left_anti`` that splits hot left keys."""
+    """``left_semi`` / ``left_anti`` that splits hot left keys, unless ``hot_rows`` is None: then
+    the left side is read once, and splitting is left to adaptive execution."""
+    members = right.select(*on)
+    if not hot_rows:
+        return left.join(members, list(on), how).select(*left.columns)
     hot = hot_keys(left, on, hot_rows)
-    members = _replicated(right.select(*on), hot, on)
+    members = _replicated(members.distinct(), hot, on)
     return _salted(left, hot, on).join(members, [*on, "_salt"], how).select(*left.columns)

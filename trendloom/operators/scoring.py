@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -9,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trendloom.operators.reshape import HOT_ROWS, keep_first, membership_join
+from trendloom.operators.reshape import keep_first, membership_join
+from trendloom.session import scratch_dir
 
 BATCH_ROWS = 256
 Scorer = Callable[[Sequence[str]], Sequence[str]]
@@ -17,33 +20,48 @@ Scorer = Callable[[Sequence[str]], Sequence[str]]
 
 def score_batches(
     df: DataFrame, make_scorer: Callable[[], Scorer], prompt: str = "prompt", answer: str = "answer",
-    batch_rows: int = BATCH_ROWS, tasks: int | None = None,
+    batch_rows: int = BATCH_ROWS, tasks: int | None = None, error: str | None = None,
 ) -> DataFrame:
     """Replace the prompt column by the model's answers.
 
     ``make_scorer`` runs once per task, where it may load a model. The other columns travel with
     the prompt, so answers and rows cannot get out of step. A model is far dearer than a shuffle,
     so the rows are evened out first: over ``tasks`` tasks, or as Spark balances them.
+
+    A scorer that raises ends the job, unless a column ``error`` is named: then the prompts of the
+    failing batch are tried one by one, and those that fail again get no answer but the message.
     """
     keys = [f for f in df.schema.fields if f.name != prompt]
-    schema = T.StructType([*keys, T.StructField(answer, T.StringType())])
+    added = [T.StructField(name, T.StringType()) for name in (answer, error) if name]
+    schema = T.StructType([*keys, *added])
+
+    def attempt(scorer: Scorer, prompts: list[str]) -> tuple[list, list]:
+        try:
+            return list(scorer(prompts)), [None] * len(prompts)
+        except Exception as problem:
+            if not error:
+                raise
+            if len(prompts) == 1:
+                return [None], [f"{type(problem).__name__}: {problem}"]
+        parts = [attempt(scorer, [p]) for p in prompts]
+        return [a for found, _ in parts for a in found], [m for _, failed in parts for m in failed]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
         for frame in frames:
             for start in range(0, len(frame), batch_rows):
                 batch = frame.iloc[start : start + batch_rows]
-                answers = list(scorer(batch[prompt].tolist()))
+                answers, messages = attempt(scorer, batch[prompt].tolist())
                 if len(answers) != len(batch):
                     raise ValueError(f"scorer gave {len(answers)} answers for {len(batch)} prompts")
-                yield batch.drop(columns=prompt).assign(**{answer: answers})
+                yield batch.drop(columns=prompt).assign(**{answer: answers}, **({error: messages} if error else {}))
 
     spread = df.repartition(tasks) if tasks else df.hint("rebalance")
     return spread.mapInPandas(run, schema)
 
 
 def unprocessed(
-    docs: DataFrame, done: DataFrame, id_col: str = "doc_id", retry_failed: bool = False, hot_rows: int = HOT_ROWS
+    docs: DataFrame, done: DataFrame, id_col: str = "doc_id", retry_failed: bool = False, hot_rows: int | None = None
 ) -> DataFrame:
     """Documents without a result. A failed answer counts as one unless it is to be retried."""
     finished = done.where(F.col("status") == "success") if retry_failed else done
@@ -62,8 +80,45 @@ def read_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
 
 def latest_results(results: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One result per document: a success if there is one, then the newest batch."""
-    return keep_first(results, [id_col], [F.col("status") != "success", -F.col("batch")])
+    """One result per document: a success if there is one, then the newest run's newest batch."""
+    started = F.split_part(F.col("run"), F.lit("-"), F.lit(1)).try_cast("bigint")
+    order = [F.col("status") != "success", -F.coalesce(started, F.lit(0)), -F.col("batch")]
+    return keep_first(results, [id_col], order)
+
+
+def new_run() -> str:
+    """Name of a run: its start in milliseconds, by which runs are ordered, and a random part."""
+    return f"{time.time_ns() // 1_000_000}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def run_resumable(
+    docs: DataFrame, label: Callable[[DataFrame, int], DataFrame], path: str, id_col: str = "doc_id",
+    retry_failed: bool = False, rows_per_task: int = 10_000, tasks_per_write: int = 1000,
+) -> DataFrame:
+    """Label the documents that have no result below ``path`` yet; the newest result of each.
+
+    What is to be done is landed in the shared folder, ``rows_per_task`` rows a file, and labelled
+    ``tasks_per_write`` files at a time by ``label(part, tasks)``. Each part's results are written
+    before the next is begun, so a run broken off loses one part, and calling again does the rest.
+    """
+    spark = docs.sparkSession
+    schema = label(docs.limit(0), 1).schema
+    todo = unprocessed(docs, read_results(spark, path, schema), id_col, retry_failed) if exists(spark, path) else docs
+    landed, run = scratch_dir(spark, "todo"), new_run()
+    todo.write.option("maxRecordsPerFile", rows_per_task).parquet(landed)
+    read = spark.read.schema(docs.schema)
+    files = sorted(read.parquet(landed).inputFiles())
+    for batch, start in enumerate(range(0, len(files), tasks_per_write)):
+        part = files[start : start + tasks_per_write]
+        append_results(label(read.parquet(*part), len(part)), path, batch, run)
+    if not exists(spark, path):
+        append_results(label(docs.limit(0), 1), path, 0, run)
+    return latest_results(read_results(spark, path, schema), id_col)
 
 
 def train_labeller(labelled: DataFrame, text: str = "text", label: str = "is_genuine_ai"):

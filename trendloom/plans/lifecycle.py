@@ -10,32 +10,61 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trendloom.functions import answers, text
+from trendloom.functions.text import truncate
 from trendloom.operators import corpus, profile, publications, scoring
-from trendloom.schemas import LABELS, SHORT_LABELS
+from trendloom.schemas import LABELS, RAW_CHARS, SHORT_LABELS
 from trendloom.sources.archives import arrow_location
 
 
+def label_prompts(
+    prompts: DataFrame, make_scorer: Callable[[], scoring.Scorer], style: str, schema: T.StructType,
+    tasks: int | None = None, results: str | None = None, id_col: str = "doc_id", **resume,
+) -> DataFrame:
+    """Score and parse the column ``prompt``; the other columns stay.
+
+    Without ``results`` the plan is lazy up to the scorer, and a scorer that raises ends it. With
+    such a folder the run is resumable (see ``scoring.run_resumable``, which takes the remaining
+    arguments), and a document the scorer fails on gets a row of status ``error`` with the message
+    in ``raw_response``.
+    """
+    if results is None:
+        return answers.parse_labels(scoring.score_batches(prompts, make_scorer, tasks=tasks), style=style, schema=schema)
+
+    def label(part: DataFrame, files: int) -> DataFrame:
+        scored = scoring.score_batches(part, make_scorer, tasks=tasks or files, error="_error")
+        parsed, failed = answers.parse_labels(scored, style=style, schema=schema), F.col("_error").isNotNull()
+        return parsed.withColumns({
+            "status": F.when(failed, "error").otherwise(F.col("status")),
+            "raw_response": F.when(failed, truncate(F.col("_error"), RAW_CHARS)).otherwise(F.col("raw_response")),
+        }).drop("_error")
+
+    return scoring.run_resumable(prompts, label, results, id_col, **resume)
+
+
 def label_corpus(
     universe: DataFrame, granted_titles: DataFrame, granted_abstracts: DataFrame, pregrant_abstracts: DataFrame,
     claims: DataFrame, system: str, make_scorer: Callable[[], scoring.Scorer], tasks: int | None = None,
+    results: str | None = None, **resume,
 ) -> DataFrame:
-    """Assemble texts and first claims, render prompts, score and parse. Lazy up to the scorer."""
+    """Assemble texts and first claims, render prompts, score and parse; resumable with ``results``."""
     docs = corpus.model_corpus(universe, granted_titles, granted_abstracts, pregrant_abstracts, claims)
     prompt = text.prompt_full(system, F.col("title"), F.col("abstract"), F.col("claim1_text_truncated"))
-    scored = scoring.score_batches(docs.select("doc_id", "year", prompt.alias("prompt")), make_scorer, tasks=tasks)
-    return answers.parse_labels(scored, style="braces", schema=LABELS)
+    prompts = docs.select("doc_id", "year", prompt.alias("prompt"))
+    return label_prompts(prompts, make_scorer, "braces", LABELS, tasks, results, "doc_id", **resume)
 
 
 def label_candidates(
-    records: DataFrame, system: str, make_scorer: Callable[[], scoring.Scorer], tasks: int | None = None
+    records: DataFrame, system: str, make_scorer: Callable[[], scoring.Scorer], tasks: int | None = None,
+    results: str | None = None, **resume,
 ) -> DataFrame:
-    """Select European candidates, render the short prompt, score and parse."""
+    """Select European candidates, render the short prompt, score and parse; resumable with ``results``."""
     docs = publications.european_candidates(records)
     prompt = text.prompt_short(system, F.col("title"), F.col("abstract"))
-    scored = scoring.score_batches(docs.select("ep_id", "year", "cpc", prompt.alias("prompt")), make_scorer, tasks=tasks)
-    return answers.parse_labels(scored, style="prefix", schema=SHORT_LABELS)
+    prompts = docs.select("ep_id", "year", "cpc", prompt.alias("prompt"))
+    return label_prompts(prompts, make_scorer, "prefix", SHORT_LABELS, tasks, results, "ep_id", **resume)
 
 
 def technique_share_by_year(classification: DataFrame) -> DataFrame:

@@ -33,18 +33,18 @@ def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType, multi_l
     return spark.read.schema(schema).csv(path, header=True, multiLine=multi_line, quote='"', escape='"')
 
 
-def read_bulk_tsv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+def read_bulk_tsv(spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool = False) -> DataFrame:
     """Large tab-separated files with a header, string columns in schema order.
 
     Lines with too many fields are skipped, short ones are filled with NULL, blanks are NULL and
     undecodable bytes become the replacement character. One line is one row, so the files are
-    split. The path of the file is kept as ``file_path``.
+    split; files with quoted line breaks need ``multi_line``, at the price of one task per file. The path of the file is kept as ``file_path``.
     """
     # A surplus field lands in one more column. Counting the fields of rejected lines instead would
     # fail as soon as a query needs no other column. An empty surplus field does no harm.
     surplus = T.StructField("_surplus", T.StringType())
     raw = spark.read.schema(T.StructType([*schema.fields, surplus])).csv(
-        path, sep="\t", header=True, quote='"', escape='"'
+        path, sep="\t", header=True, multiLine=multi_line, quote='"', escape='"'
     )
     kept = raw.where(F.col("_surplus").isNull())
     columns = [F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in schema.names]
@@ -99,7 +99,8 @@ def files_by_header(spark: SparkSession, pattern: str) -> dict[tuple[str, ...],
 
 
 def read_yearly_claims(
-    spark: SparkSession, files: Mapping[str, str], first: int = FIRST_YEAR, last: int = LAST_YEAR
+    spark: SparkSession, files: Mapping[str, str], first: int = FIRST_YEAR, last: int = LAST_YEAR,
+    multi_line: bool = False,
 ) -> DataFrame:
     """All claim files, one path pattern per kind; the year is taken from the file name.
 
@@ -110,7 +111,8 @@ def read_yearly_claims(
     parts = []
     for claim_type, pattern in files.items():
         for header, paths in files_by_header(spark, pattern).items():
-            rows = read_bulk_tsv(spark, paths, T.StructType([T.StructField(name, T.StringType()) for name in header]))
+            schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
+            rows = read_bulk_tsv(spark, paths, schema, multi_line)
             found = resolve_columns(header, CLAIM_ROLES)
             year = F.regexp_extract("file_path", r"_claims_([0-9]{4})\.tsv", 1)
             parts.append(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trendloom.operators.reshape import keep_first
-from trendloom.operators.scoring import append_results, read_results, unprocessed
+from trendloom.operators.scoring import append_results, exists, new_run, read_results, unprocessed
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def _run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The run's name, drawn once and kept beside the checkpoint's own files."""
+    kept = f"{checkpoint.rstrip('/')}/run-name"
+    if not exists(spark, kept):
+        spark.createDataFrame([(new_run(),)], "run string").coalesce(1).write.parquet(kept)
+    return spark.read.schema("run string").parquet(kept).first().run
 
 
 def score_landing(
@@ -38,8 +40,8 @@ def score_landing(
 
     Every micro-batch reads the ids done so far, so ``files_per_batch`` should be large.
     """
-    run = f"{zlib.crc32(checkpoint.encode()):08x}"
-    seen_before = _exists(spark, out)
+    run = _run_of(spark, checkpoint)
+    seen_before = exists(spark, out)
 
     def handle(batch: DataFrame, number: int) -> None:
         fresh = keep_first(batch, [id_col])
