@@ -105,6 +105,7 @@ def run_resumable(
     What is to be done is landed in the shared folder, ``rows_per_task`` rows a file, and labelled
     ``tasks_per_write`` files at a time by ``label(part, tasks)``. Each part's results are written
     before the next is begun, so a run broken off loses one part, and calling again does the rest.
+    Don't join the frames of two calls: Spark takes two readings of one folder for the same rows.
     """
     spark = docs.sparkSession
     schema = label(docs.limit(0), 1).schema

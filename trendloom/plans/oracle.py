@@ -583,6 +583,15 @@ SQL["resume_checkpoint"] = _stub(
     f"(SELECT doc_id, {_DOC_PROMPT} AS prompt, CAST(CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS INT) AS batch FROM <<texts>>)",
     "doc_id, batch",
 )
+_TEXTS = f"(SELECT doc_id, {_DOC_PROMPT} AS prompt, CAST(1 AS BIGINT) AS n_results FROM <<texts>>)"
+_FIRST = """CASE WHEN (strpos('0123456789abcdef', substr(md5(prompt), 4, 1)) - 1) % 2 = 0 THEN 'error'
+ WHEN (strpos('0123456789abcdef', substr(md5(prompt), 3, 1)) - 1) % 4 = 3 THEN 'parse_error' ELSE 'success' END AS first_status"""
+SQL["resumed_run"] = _stub(_TEXTS, "doc_id, n_results")
+SQL["retry_failed"] = _stub(_TEXTS, f"doc_id, {_FIRST}")
+SQL["classifier_holdout"] = """
+SELECT count(*) AS n_scored, count(l.doc_id) AS n_labelled,
+       count(l.doc_id) FILTER (substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 1) IN ('0', '1', '2')) AS n_held_out
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic IS NOT NULL) l ON d.doc_id = l.doc_id"""
 SQL["incremental_stream"] = _stub(f"(SELECT doc_id, {_DOC_PROMPT} AS prompt FROM <<event_docs>>)", "doc_id")
 
 # --- sets, order, comparison -----------------------------------------------
