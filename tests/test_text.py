@@ -46,6 +46,11 @@ ANSWERS = [
     f"\n\t {OBJECT} \n",
     f"{FENCE}{FENCE}",
     f"text {FENCE} {OBJECT}",
+    '{"is_genuine_ai": false, "ai_technique": "a", "is_genuine_ai": true, "ai_technique": null}',
+    '{"is_genuine_ai": true, "ai_technique": "b", "score": NaN, "more": {"x": -Infinity, "x": 2}}',
+    '{"is_genuine_ai": true}, "answer": {"ai_technique": "c"}',
+    '{"is_genuine_ai": true, "complete": false}',
+    '{"is_genuine_ai": true,}',
 ]
 
 

@@ -36,22 +36,32 @@ def slice_braces(text: Column) -> Column:
     return F.when(found, F.substr(text, start, end - start + 1))
 
 
+# Double quotes only; bare NaN and infinities count as values.
+JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true"}
+
+
 def json_members(text: Column) -> Column:
-    """The answer as map<string, variant> with key 'answer'; NULL unless it is one JSON value.
+    """The answer as map<string, string> with key 'answer'; NULL unless it is one JSON value.
 
-    ``try_parse_json`` ignores whatever follows the first value. Placing the answer inside an
-    outer object makes any leftover either a syntax error or an extra member, and both are
-    caught by asking for exactly the two members put there.
+    The JSON reader ignores whatever follows the first value. Placing the answer inside an outer
+    object makes any leftover either a syntax error or an extra member, and both are caught by
+    asking for exactly the two members put there.
     """
     wrapped = F.concat(F.lit('{"answer":'), text, F.lit(',"complete":true}'))
-    members = F.try_variant_get(F.try_parse_json(wrapped), "$", "map<string,variant>")
+    members = F.from_json(wrapped, "map<string,string>", JSON)
     return F.when(F.size(members) == 2, members)
 
 
-def _labels(answer: Column, schema: T.StructType) -> list[Column]:
+def _member(members: Column, name: str) -> Column:
+    """Value of a member; of a repeated key the last one counts."""
+    same = F.filter(members, lambda m: m["key"] == name)
+    return F.when(F.size(same) > 0, F.element_at(same, -1)["value"])
+
+
+def _labels(members: Column, schema: T.StructType) -> list[Column]:
     columns = []
     for field in schema:
-        value = F.try_variant_get(answer, f"$.{field.name}", "string")
+        value = _member(members, field.name)
         if isinstance(field.dataType, T.BooleanType):
             value = normalise_bool(value)
         columns.append(value.alias(field.name))
@@ -88,7 +98,8 @@ def parse_labels(
         raise ValueError(f"unknown answer style {style!r}")
 
     staged = staged.withColumn("status", status).withColumn(
-        "_answer", F.when(F.col("status") == "success", F.element_at("_members", F.lit("answer")))
+        "_answer",
+        F.when(F.col("status") == "success", F.map_entries(F.from_json(F.col("_members")["answer"], "map<string,string>", JSON))),
     )
     added = [*schema.names, "status", "raw_response", answer]
     keys = [c for c in df.columns if c not in added]
