@@ -125,6 +125,24 @@ def test_one_of_each_keeps_the_columns(documents, texts):
     assert sorted({r.doc_id for r in kept.collect()}) == sorted(set(top))
 
 
+def test_one_row_of_each_group_stays(spark, documents, texts):
+    """Repeated rows leave one row; a text without a copy stays beside another text of its id."""
+    rows = near_dedup.keep_one_of_each(documents).collect()
+    _, top = groups(texts)
+    assert sorted((r.doc_id, r.text or "") for r in rows) == sorted((k, texts[k] or "") for k in set(top))
+    long = [" ".join(f"{w}{k}" for k in range(120)) for w in ("one", "two", "three")]
+    more = [(1, long[0], 5), (2, long[0], 5), (2, long[1], 5), (3, long[2], 6), (3, long[2], 7), (3, long[2], 6), (4, None, 0), (4, None, 0)]
+    more += [(5, long[2] + " end", 8), (6, "", 1), (6, None, 1), (7, "some few words here now", 1), (7, "Some few words  here now", 1)]
+    more += [(None, long[0], 9), (None, long[0], 9)]
+    docs = spark.createDataFrame(more, "doc_id long, text string, n_chars long").repartition(4)
+    once = near_dedup.keep_one_of_each(docs)
+    left = [(1, long[0], 5), (2, long[1], 5), (3, long[2], 6), (4, None, 0), (6, "", 1), (6, None, 1), (None, long[0], 9), (None, long[0], 9)]
+    got = [tuple(r) for r in once.collect()]
+    assert sorted(map(str, (x for x in got if x[0] != 7))) == sorted(map(str, left)) and len([x for x in got if x[0] == 7]) == 1
+    cut = {r.doc_id: r.text for r in suffix_dedup.cut_documents(once.where("doc_id < 4")).collect()}
+    assert cut == {1: long[0], 2: long[1], 3: long[2]}
+
+
 def without_repeats(raws):
     size = suffix_dedup.LENGTH
     seen = collections.Counter(r[k : k + size] for r in raws for k in range(len(r) - size + 1))

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm.common import Codes, settle
@@ -33,6 +33,7 @@ from trendloom.llm.components import components
 
 SHINGLE, TREES, DEPTH = 4, 8, 8
 NEAR, AGREE = 8, 0.55
+IDENTITY = ["doc_id", "h1", "h2"]
 #: Members and hashes of a block; hashes handled at once when signatures are made.
 MEMBERS, HASHES, STEP = 1_000, 2_000_000, 8_192
 
@@ -71,25 +72,30 @@ def node_of(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - 2**63
 
 
+def identity() -> list[Column]:
+    """What tells rows apart: the id and 128 bits of the text."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """Columns ``doc_id, n_shingles, node, signature``; the last two are null for empty sets."""
+    """Columns ``doc_id, h1, h2, n_shingles, node, signature``; the last two are null for empty sets."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, nodes, signs = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(3).to_pylist():
                 own = shingles(text)
                 sizes.append(len(own))
                 nodes.append(node_of(own) if len(own) else None)
                 signs.append(signature(own) if len(own) else None)
             _codes.trim()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signs, pa.binary())],
-                ["doc_id", "n_shingles", "node", "signature"],
+                [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signs, pa.binary())],
+                [*IDENTITY, "n_shingles", "node", "signature"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(work, "doc_id long, n_shingles long, node long, signature binary")
+    rows = docs.select(*identity(), "text")
+    return rows.mapInArrow(work, "doc_id long, h1 long, h2 long, n_shingles long, node long, signature binary")
 
 
 class Forest:
@@ -241,36 +247,58 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int) -> DataFra
     return dealt.mapInArrow(_verify(percent), "u long, v long")
 
 
-def find_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Columns ``doc_id, n_shingles, component_id, kept``, one row per row of ``docs``.
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """Columns ``doc_id, h1, h2, n_shingles, first``, one row per row of ``docs``.
 
-    Texts are linked if ``100 * intersection >= percent * union`` of their shingle sets;
-    ``component_id`` is the smallest ``doc_id`` reachable. A text without words (or missing) is
-    linked with nothing. A row without ``doc_id`` takes no part: its ``component_id`` is null and it
-    is kept. Rows with equal ``doc_id`` and different texts are told apart by their texts.
+    ``first`` is the smallest identity reachable; it is null for rows without ``doc_id`` or words.
     """
     signed = settle(signatures(docs), "near-signatures")
     linkable = signed.where("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = linkable.groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
+        F.min(F.struct(*IDENTITY)).alias("own"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
+    )
+    members = nodes.join(families(nodes.select("node", "signature")), "node").select(
+        "node", "family", F.col("own.doc_id").alias("doc_id"), "n_shingles", "own"
     )
-    members = nodes.join(families(nodes.select("node", "signature")), "node").select("node", "family", "doc_id", "n_shingles")
     members = settle(members, "near-members")
-    links = settle(verified_links(docs, members, percent), "near-links")
+    links = settle(verified_links(docs, members.drop("own"), percent), "near-links")
     roots = components(links, "near-components")
-    grouped = roots.join(members, "node").select("node", "root", "doc_id")
-    least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = settle(grouped.join(least, "root").select("node", "component_id"), "near-groups")
-    firsts = linkable.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    known = firsts.join(of_node, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("found"))
+    grouped = roots.join(members, "node").select("node", "root", "own")
+    least = grouped.groupBy("root").agg(F.min("own").alias("least"))
+    of_node = settle(grouped.join(least, "root").select("node", "least"), "near-groups")
+    firsts = linkable.groupBy("node").agg(F.min(F.struct(*IDENTITY)).alias("own"))
+    known = firsts.join(of_node, "node", "left").select("node", F.coalesce("least", "own").alias("found"))
     out = signed.drop("signature").join(known, "node", "left")
-    alone = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("found")), F.col("doc_id"))
-    return out.select(
+    return out.select(*IDENTITY, "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("found")).alias("first"))
+
+
+def find_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """Columns ``doc_id, n_shingles, component_id, kept``, one row per row of ``docs``.
+
+    Texts are linked if ``100 * intersection >= percent * union`` of their shingle sets;
+    ``component_id`` is the smallest ``doc_id`` reachable. A text without words (or missing) is
+    linked with nothing. A row without ``doc_id`` takes no part: its ``component_id`` is null and it
+    is kept. Rows with equal ``doc_id`` and different texts are told apart by their texts.
+    """
+    alone = F.coalesce(F.col("first.doc_id"), F.col("doc_id"))
+    return _grouped(docs, percent).select(
         "doc_id", "n_shingles", alone.alias("component_id"), F.coalesce(F.col("doc_id") == alone, F.lit(True)).alias("kept")
     )
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """One document of every group, the one with the smallest id, with the columns they came with."""
-    gone = find_groups(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id").cast("long") == F.col("g.gone_id"), "left_anti")
+    """One row of every group, the one with the smallest id, with the columns it came with.
+
+    Rows are told apart by id and text, so a text without a copy stays even if its id also has
+    another text that goes. Rows equal in both are one document, of which the smallest row stays;
+    rows without ``doc_id`` all stay.
+    """
+    own = F.struct(*IDENTITY)
+    found = _grouped(docs, percent).where("doc_id IS NOT NULL").select(*IDENTITY, (F.coalesce("first", own) != own).alias("gone"))
+    counted = found.groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("n"), F.max("gone").alias("gone"))
+    marks = settle(counted.where("gone OR n > 1"), "near-marks")
+    # Its size is known before the join, so that few repeated rows cost no shuffle of the texts.
+    twice = settle(marks.where("NOT gone").select(*IDENTITY), "near-twice")
+    rows = docs.select(F.struct("*").alias("row"), F.struct(*identity()).alias("key")).select("row", "key.*")
+    single = rows.join(marks, IDENTITY, "left_anti").select("row.*")
+    return single.union(rows.join(twice, IDENTITY).groupBy(*IDENTITY).agg(F.min("row").alias("row")).select("row.*"))
