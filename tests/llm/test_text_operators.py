@@ -328,6 +328,30 @@ def test_scores(monkeypatch, documents, texts, words, successors):
         assert -2 * len(w) / ngram_lm.STEPS <= r.score - sum(map(math.log10, p)) <= 1e-6
 
 
+def test_query_scores_with_pairs_seen_once(spark, documents, tmp_path):
+    from trendloom.llm import queries
+
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    every = [(r.doc_id, [*(r.text or "").encode().lower().split(), b"\n"]) for r in documents.collect()]
+    c, pairs = collections.Counter(), collections.Counter()
+    for k, w in every:
+        if zlib.crc32(str(k).encode()) % 7 != 2:
+            c.update(w)
+            pairs.update(zip([b"\n", *w], w, strict=False))
+    assert 1 in pairs.values()
+    total, kinds = sum(c.values()), len(c)
+    stored = collections.Counter()
+    for (v, _), n in pairs.items():
+        stored[v] += (n - ngram_lm.DISCOUNT) / c[v]
+    got = by_id(queries.QUERIES["op7_ngram_trie"](spark, str(tmp_path)))
+    for k, w in every:
+        p = []
+        for v, x in zip([b"\n", *w], w, strict=False):
+            seen = (pairs[v, x] - ngram_lm.DISCOUNT) / c[v] if pairs[v, x] else 0
+            p.append(seen + (1 - stored[v]) * (c[x] + 1) / (total + kinds + 1))
+        assert -2 * len(w) / ngram_lm.STEPS <= got[k].score - sum(map(math.log10, p)) <= 1e-6
+
+
 # Empty tables
 
 

@@ -12,11 +12,11 @@ folder; tasks map them into memory, so what a worker holds does not grow with th
 * One byte per word for the weight that is left to unseen successors.
 
 Probabilities are interpolated: ``P(w | v) = max(c(v, w) - D, 0) / c(v) + rest(v) * P(w)`` with
-``P(w) = (c(w) + 1) / (N + V + 1)``. Pairs seen once are left to the second term. Bytes hold the
-logarithm in steps of 1/32, rounded down, so that no distribution exceeds one.
+``P(w) = (c(w) + 1) / (N + V + 1)``. Pairs seen fewer than ``least`` times are left to the second
+term; the registered query stores every pair (``least`` 1). Bytes hold the logarithm in steps of 1/32, rounded down, so that no distribution exceeds one.
 
 Counts cover all training documents. Words and pairs are counted per batch before any shuffle; a
-pair is counted only if both of its words occur twice, which no pair that occurs twice fails.
+pair is counted only if both of its words occur ``least`` times, which no pair that does fails.
 """
 
 from __future__ import annotations
@@ -208,7 +208,7 @@ def _write_words(folder: str):
     return work
 
 
-def _count_pairs(trie: Trie):
+def _count_pairs(trie: Trie, least: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(trie)
         for _, flat, _ in _groups(batches):
@@ -216,7 +216,7 @@ def _count_pairs(trie: Trie):
             number, count = reader.lookup(words)
             before = np.searchsorted(words, END)
             left, right = np.r_[before, place[:-1]], place
-            both = (count[left] >= LEAST) & (count[right] >= LEAST)
+            both = (count[left] >= least) & (count[right] >= least)
             pairs, n = np.unique(left[both] * len(words) + right[both], return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(number[pairs // len(words)]), pa.array(number[pairs % len(words)]), pa.array(n)], ["v", "w", "n"]
@@ -267,8 +267,11 @@ def _write_rest(trie: Trie):
     return work
 
 
-def train(docs: DataFrame, label: str = "ngrams") -> Trie:
-    """Count the words and pairs of ``docs(text)`` and write the trie to the shared folder."""
+def train(docs: DataFrame, label: str = "ngrams", least: int = LEAST) -> Trie:
+    """Count the words and pairs of ``docs(text)`` and write the trie to the shared folder.
+
+    Pairs seen fewer than ``least`` times are not stored.
+    """
     spark = docs.sparkSession
     texts = docs.select(whole_text().alias("text"))
     folder = scratch_dir(spark, f"{label}-trie")
@@ -281,8 +284,8 @@ def train(docs: DataFrame, label: str = "ngrams") -> Trie:
     trie = Trie(folder, bits, tuple(sizes.get(s, 0) for s in range(1 << bits)), total)
     if not total:
         return trie
-    counted = texts.mapInArrow(_count_pairs(trie), "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
-    pairs = settle(counted.where(F.col("n") >= LEAST), f"{label}-pairs")
+    counted = texts.mapInArrow(_count_pairs(trie, least), "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
+    pairs = settle(counted.where(F.col("n") >= least), f"{label}-pairs")
     split = 1 + pairs.count() // (SUCCESSORS << bits)
     trie = Trie(folder, bits, trie.sizes, total, split)
     files = (1 << bits) * split
@@ -341,9 +344,9 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def train_and_score(docs: DataFrame) -> DataFrame:
+def train_and_score(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Learn from the documents that are not held out, score all of them."""
-    trie = train(docs.where(~is_held_out(F.col("doc_id"))))
+    trie = train(docs.where(~is_held_out(F.col("doc_id"))), least=least)
     return score(docs, trie).select(
         "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
         F.lit(trie.total).cast("long").alias("train_tokens"), "base_score", "score",

@@ -60,7 +60,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.train_and_score(table(spark, sf_dir, "documents"))
+    return ngram_lm.train_and_score(table(spark, sf_dir, "documents"), least=1)
 
 
 def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
