@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.llm import (
-    decontaminate, near_dedup, ngram_lm, piece_codec, quality_rules, sharding, span_dedup, suffix_dedup, token_counts, url_filters,
+    decontaminate, line_dedup, merkle, near_dedup, ngram_lm, piece_codec, prefix_trie, quality_rules, sharding, span_dedup,
+    suffix_dedup, token_counts, url_filters,
 )
 from trendloom.llm.common import table
 
@@ -78,11 +79,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    claimed = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.prove(docs, text=claimed).drop("source")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_benchmark_decontamination, op3_sentence_spans, op4_sentencepiece, op5_hash_tree_shards,
         op6_suffix_dedup, op7_ngram_trie, op8_lsh_forest, op9_quality_rules, op10_token_counts,
+        op11_line_dedup, op12_conversation_trie, op13_merkle_manifest,
     )
 }
 
@@ -169,4 +186,99 @@ base AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_f
 SELECT *, NOT base_failed AND {' AND '.join(_rule_sql(r) for r in quality_rules.RULES)} AS kept FROM base
 """
 
-ORACLE = {"op1_url_filters": _OP1, "op3_sentence_spans": _OP3, "op9_quality_rules": _OP9}
+_OP11 = r"""
+WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS line, unnest(generate_series(1, len(parts))) AS i FROM parts),
+keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+lost AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE l.keeper <> k.doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.i) FILTER (WHERE l.keeper IS NULL OR l.keeper = k.doc_id), '')) AS kept_sha256
+FROM keyed k LEFT JOIN lost l USING (key) GROUP BY k.doc_id
+"""
+
+
+def _crc32(text: str) -> str:
+    step = "lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    byte = f"lambda crc, b: list_reduce(generate_series(CAST(1 AS BIGINT), 8), {step}, xor(crc, b))"
+    codes = f"list_transform(string_split({text}, ''), lambda c: CAST(ord(c) AS BIGINT))"
+    return f"xor(list_reduce({codes}, {byte}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+_OP12 = rf"""
+WITH own AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, ''))
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+hashed AS (SELECT *, {_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM own),
+rebuilt AS (
+  SELECT c.conv_id, coalesce(l.turns[1 : c.h], []) || c.turns[c.h + 1 :] AS path
+  FROM hashed c LEFT JOIN own l ON l.conv_id = c.conv_id - c.conv_id % 5),
+members AS (SELECT conv_id, path[1 : d] AS p, d, len(path) AS n FROM rebuilt, LATERAL (SELECT unnest(generate_series(0, len(path))) AS d)),
+nodes AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d), '') AS ends
+  FROM members GROUP BY p, d),
+kids AS (SELECT p[1 : d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children,
+    CASE WHEN d > 0 THEN (n_convs - 1) * strlen(n.p[d].t) ELSE 0 END AS saved
+  FROM nodes n LEFT JOIN kids k USING (p)),
+below AS (
+  SELECT p[1 : k] AS p, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+  FROM full_nodes, LATERAL (SELECT unnest(generate_series(0, d)) AS k) GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, CAST(n.n_children AS BIGINT) AS n_children,
+  b.n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM full_nodes n JOIN below b USING (p) LEFT JOIN nodes up ON n.d > 0 AND up.p = n.p[1 : n.d - 1]
+"""
+
+
+def _leaf_sql(text: str) -> str:
+    fields = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+_OP13 = rf"""
+WITH RECURSIVE claimed AS (
+  SELECT *, CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS said FROM documents),
+hashed AS (
+  SELECT doc_id, source, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS src, {_leaf_sql("text")} AS leaf, {_leaf_sql("said")} AS claim
+  FROM claimed),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY src) AS n FROM hashed),
+tree AS (
+  SELECT src, 0 AS lvl, idx, n, leaf AS node FROM leaves
+  UNION ALL
+  SELECT src, lvl + 1, idx // 3, (max(n) + 2) // 3, sha256(string_agg(node, '' ORDER BY idx)) FROM tree WHERE n > 1 GROUP BY src, lvl, idx // 3),
+subroots AS (SELECT src, lvl AS height, node AS subroot FROM tree WHERE n = 1),
+upper_tree AS (
+  SELECT 0 AS lvl, src AS idx, (SELECT count(*) FROM subroots) AS n, subroot AS node FROM subroots
+  UNION ALL
+  SELECT lvl + 1, idx // 3, (max(n) + 2) // 3, sha256(string_agg(node, '' ORDER BY idx)) FROM upper_tree WHERE n > 1 GROUP BY lvl, idx // 3),
+root AS (SELECT node AS root, lvl AS height FROM upper_tree WHERE n = 1),
+runs AS (
+  SELECT src, lvl, idx // 3 AS run, list(node ORDER BY idx) AS nodes FROM tree WHERE n > 1 GROUP BY ALL
+  UNION ALL
+  SELECT -1, lvl, idx // 3, list(node ORDER BY idx) FROM upper_tree WHERE n > 1 GROUP BY ALL),
+steps AS (
+  SELECT src, lvl, run, nodes, lvl AS step FROM runs WHERE src >= 0
+  UNION ALL
+  SELECT s.src, u.lvl, u.run, u.nodes, s.height + u.lvl FROM subroots s, runs u WHERE u.src = -1 AND u.run = s.src // CAST(3 ** (u.lvl + 1) AS BIGINT)),
+fold AS (
+  SELECT l.src, l.idx AS leaf_idx, 0 AS step, s.height, CASE WHEN s.height = 0 THEN l.src ELSE l.idx END AS at, l.claim AS value, '' AS siblings
+  FROM leaves l JOIN subroots s USING (src)
+  UNION ALL
+  SELECT f.src, f.leaf_idx, f.step + 1, f.height, CASE WHEN f.step + 1 = f.height THEN f.src ELSE f.at // 3 END,
+    sha256(array_to_string(t.nodes[1 : f.at % 3], '') || f.value || array_to_string(t.nodes[f.at % 3 + 2 :], '')),
+    f.siblings || array_to_string(t.nodes[1 : f.at % 3], '') || array_to_string(t.nodes[f.at % 3 + 2 :], '')
+  FROM fold f JOIN steps t ON t.src = f.src AND t.step = f.step AND t.run = f.at // 3)
+SELECT l.doc_id, l.leaf, s.subroot, r.root, sha256(f.siblings) AS proof_sha256, f.value AS folded_root, f.value = r.root AS verified
+FROM leaves l JOIN subroots s USING (src) CROSS JOIN root r JOIN fold f ON f.src = l.src AND f.leaf_idx = l.idx AND f.step = s.height + r.height
+"""
+
+ORACLE = {
+    "op1_url_filters": _OP1, "op3_sentence_spans": _OP3, "op9_quality_rules": _OP9, "op11_line_dedup": _OP11,
+    "op12_conversation_trie": _OP12, "op13_merkle_manifest": _OP13,
+}
