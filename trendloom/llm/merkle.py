@@ -9,7 +9,7 @@ the right siblings only; what stands left of it is never hashed again.
 
 *In Spark.* Leaves are hashed inside the JVM; only ids and 32-byte digests are shuffled. Rows are
 numbered by a range sort, so a source with a third of all rows is spread over tasks like any other.
-Blocks of ``ARITY ** LEVELS`` neighbours become subtrees, one task call each; block roots are the
+Blocks of ``ARITY ** LEVELS`` neighbours become subtrees, one at a time in a task; block roots are the
 nodes of the next round, until each source has one. On the way down a block gets its path to the
 root once, and folds its rows through its own subtree and then through that path.
 """
@@ -17,12 +17,13 @@ root once, and folds its rows through its own subtree and then through that path
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from trendloom.llm.common import settle
@@ -82,53 +83,73 @@ class Subtree:
             at //= ARITY
 
 
-def _subtree(block: pa.Table) -> tuple[Subtree, pa.Table]:
-    block = block.sort_by("idx")
-    nodes = [x.hex().encode() for x in block.column("node").to_pylist()]
-    return Subtree(nodes, LEVELS if block.column("n")[0].as_py() > BLOCK else None), block
+_NODES = "g string, idx long, n long, node binary"
+_WAY = f"g string, idx long, path {PATH}, subroot binary"
+_STEPS = pa.list_(pa.struct([("slot", pa.int32()), ("children", pa.list_(pa.string()))]))
 
 
-def _block_root(block: pa.Table) -> pa.Table:
-    tree, _ = _subtree(block)
-    n = -(-block["n"][0].as_py() // BLOCK)
-    node = pa.array([bytes.fromhex(tree.root.decode())], pa.binary())
-    return pa.table({"g": block["g"].slice(0, 1), "idx": block["block"].slice(0, 1), "n": pa.array([n], pa.int64()), "node": node})
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of every block, from rows sorted by group, block and idx."""
+    block: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if block and (row["block"], row["g"]) != (block[0]["block"], block[0]["g"]):
+                yield block
+                block = []
+            block.append(row)
+    if block:
+        yield block
 
 
-_NODES = "g string, idx long, n long, node binary"
-_WAY = f"g string, idx long, path {PATH}, subroot binary"
-_PATH = pa.list_(pa.struct([("slot", pa.int32()), ("children", pa.list_(pa.string()))]))
+def _subtree(block: list[dict]) -> Subtree:
+    return Subtree([r["node"].hex().encode() for r in block], LEVELS if block[0]["n"] > BLOCK else None)
+
+
+def _batch(rows: Iterable[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
 
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A node for every block."""
+    for block in _blocks(batches):
+        top = block[0]
+        row = (top["g"], top["block"], -(-top["n"] // BLOCK), bytes.fromhex(_subtree(block).root.decode()))
+        yield _batch([row], ["g", "idx", "n", "node"], [pa.string(), pa.int64(), pa.int64(), pa.binary()])
 
-def _paths(block: pa.Table, above: pa.Table) -> pa.Table:
+
+def _ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The way up of every node: through its block, then as the block's root goes on."""
-    tree, block = _subtree(block)
-    rest, subroot = above["path"][0].as_py(), above["subroot"][0].as_py()
-    own = [[{"slot": s, "children": [c.decode() for c in p.children]} for s, p in tree.steps(i)] + rest for i in range(block.num_rows)]
-    again = block.num_rows
-    return pa.table({"g": block["g"], "idx": block["idx"], "path": pa.array(own, _PATH), "subroot": pa.array([subroot] * again, pa.binary())})
+    for above, *block in _blocks(batches):
+        tree = _subtree(block)
+        step = lambda s, p: {"slot": s, "children": [c.decode() for c in p.children]}
+        rows = [(r["g"], r["idx"], [step(s, p) for s, p in tree.steps(i)] + above["path"], above["subroot"]) for i, r in enumerate(block)]
+        yield _batch(rows, ["g", "idx", "path", "subroot"], [pa.string(), pa.int64(), _STEPS, pa.binary()])
+
+
+_HEXES = ("leaf", "subroot", "root", "proof_sha256", "folded_root")
 
 
-def _proofs(block: pa.Table, above: pa.Table) -> pa.Table:
+def _proofs(id_kind: pa.DataType):
     """Every leaf's proof and the root folded from its claim."""
-    tree, block = _subtree(block)
-    path = [(s["slot"], Parent([c.encode() for c in s["children"]])) for s in above["path"][0].as_py()]
-    upper = b"".join(p.siblings(s) for s, p in path)
-    root = path[-1][1].value if path else tree.root
-    proofs, folded = [], []
-    for i, claim in enumerate(block["claim"].to_pylist()):
-        way = list(tree.steps(i))
-        proofs.append(hashlib.sha256(b"".join([p.siblings(s) for s, p in way]) + upper).hexdigest())
-        value = claim.hex().encode()
-        for slot, parent in way + path:
-            value = parent.fold(slot, value)
-        folded.append(value.decode())
-    n, subroot = block.num_rows, above["subroot"][0].as_py().hex()
-    fixed = {"subroot": pa.array([subroot] * n, pa.string()), "root": pa.array([root.decode()] * n, pa.string())}
-    leaves = pa.array([x.hex() for x in block["node"].to_pylist()], pa.string())
-    known = {"doc_id": block["doc_id"], "source": block["source"], "leaf": leaves, **fixed}
-    known |= {"proof_sha256": pa.array(proofs, pa.string()), "folded_root": pa.array(folded, pa.string())}
-    return pa.table(known | {"verified": pa.array([f == root.decode() for f in folded], pa.bool_())})
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for above, *block in _blocks(batches):
+            tree = _subtree(block)
+            path = [(s["slot"], Parent([c.encode() for c in s["children"]])) for s in above["path"]]
+            upper = b"".join(p.siblings(s) for s, p in path)
+            root = (path[-1][1].value if path else tree.root).decode()
+            rows = []
+            for i, r in enumerate(block):
+                way = list(tree.steps(i))
+                proof = hashlib.sha256(b"".join([p.siblings(s) for s, p in way]) + upper).hexdigest()
+                value = r["claim"].hex().encode()
+                for slot, parent in way + path:
+                    value = parent.fold(slot, value)
+                folded = value.decode()
+                rows.append((r["doc_id"], r["source"], r["node"].hex(), above["subroot"].hex(), root, proof, folded, folded == root))
+            yield _batch(rows, ["doc_id", "source", *_HEXES, "verified"], [id_kind, *[pa.string()] * 6, pa.bool_()])
+
+    return work
 
 
 def numbered(rows: DataFrame, order: list[str], label: str) -> DataFrame:
@@ -147,8 +168,13 @@ def numbered(rows: DataFrame, order: list[str], label: str) -> DataFrame:
     return placed.join(offsets, ["g", "part"]).select(*rows.columns, (F.col("pos") + F.col("shift")).alias("idx"), "n")
 
 
-def _blocked(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.expr(f"idx DIV {BLOCK}"))
+def _in_blocks(nodes: DataFrame, above: DataFrame | None = None) -> DataFrame:
+    """The nodes by block; if asked, behind the row of ``above`` for the block's root."""
+    rows = nodes.withColumn("block", F.expr(f"idx DIV {BLOCK}"))
+    if above is not None:
+        heads = above.select("g", F.col("idx").alias("block"), F.lit(-1).cast("long").alias("idx"), "path", "subroot")
+        rows = rows.unionByName(heads, allowMissingColumns=True)
+    return rows.repartition("g", "block").sortWithinPartitions("g", "block", "idx")
 
 
 def grow(nodes: DataFrame, label: str) -> list[DataFrame]:
@@ -156,7 +182,7 @@ def grow(nodes: DataFrame, label: str) -> list[DataFrame]:
     rounds = [nodes]
     most = nodes.agg(F.max("n")).first()[0] or 1
     while most > 1:
-        roots = _blocked(rounds[-1].select("g", "idx", "n", "node")).groupBy("g", "block").applyInArrow(_block_root, _NODES)
+        roots = _in_blocks(rounds[-1].select("g", "idx", "n", "node")).mapInArrow(_roots, _NODES)
         rounds.append(settle(roots, f"{label}-{len(rounds)}"))
         most = -(-most // BLOCK)
     return rounds
@@ -166,15 +192,10 @@ def descend(rounds: list[DataFrame], top: DataFrame, label: str) -> DataFrame:
     """``g, idx, path, subroot`` of the nodes of round one, from those of the last round (``top``)."""
     now = top
     for k in range(len(rounds) - 2, 0, -1):
-        now = settle(_together(rounds[k], now).applyInArrow(_paths, _WAY), f"{label}-{k}")
+        now = settle(_in_blocks(rounds[k], now).mapInArrow(_ways, _WAY), f"{label}-{k}")
     return now
 
 
-def _together(nodes: DataFrame, above: DataFrame):
-    own = _blocked(nodes).groupBy("g", "block")
-    return own.cogroup(above.withColumnRenamed("idx", "block").groupBy("g", "block"))
-
-
 def prove(docs: DataFrame, **claimed: Column) -> DataFrame:
     """Columns ``doc_id, source, leaf, subroot, root, proof_sha256, folded_root, verified``, a row per row.
 
@@ -188,17 +209,20 @@ def prove(docs: DataFrame, **claimed: Column) -> DataFrame:
     source's lone leaf is its root, a lone source's root the table's. No rows give no row.
     """
     rows = docs.select(encoded(F.col("source")).alias("g"), "source", "doc_id", leaf_of().alias("node"), leaf_of(**claimed).alias("claim"))
+    # Written first: the range sort reads its rows twice, and texts should be hashed once.
+    rows = settle(rows, "merkle-hashes")
     leaves = settle(numbered(rows, ["doc_id", "node", "claim"], "merkle-order"), "merkle-leaves")
     below = grow(leaves, "merkle-rows")
-    subroots = below[-1].select("g", "node")
-    named = subroots.join(leaves.where("idx = 0").select("g", "source"), "g").select(F.lit("").alias("g"), F.col("g").alias("of"), "source", "node")
-    sources = settle(numbered(named, ["source"], "merkle-sources"), "merkle-subroots")
+    named = below[-1].select("g", "node").join(leaves.where("idx = 0").select("g", "source"), "g")
+    sources = named.select(F.lit("").alias("g"), F.col("g").alias("of"), "source", "node")
+    sources = settle(numbered(sources, ["source"], "merkle-sources"), "merkle-subroots")
     above = grow(sources, "merkle-top")
-    root = above[-1].select("g", F.lit(0).cast("long").alias("idx"), F.array().cast(PATH).alias("path"), F.col("node").alias("subroot"))
-    way = root  # of the sources' roots; a lone source is its own top
-    if len(above) > 1:
-        way = _together(sources.select("g", "idx", "n", "node"), descend(above, root, "merkle-down")).applyInArrow(_paths, _WAY)
-    tops = sources.join(way.select("idx", "path"), "idx").select(F.col("of").alias("g"), F.lit(0).cast("long").alias("idx"), "path", F.col("node").alias("subroot"))
-    hexes = [T.StructField(c, T.StringType()) for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")]
-    schema = T.StructType([leaves.schema["doc_id"], leaves.schema["source"], *hexes, T.StructField("verified", T.BooleanType())])
-    return _together(leaves, descend(below, settle(tops, "merkle-tops"), "merkle-paths")).applyInArrow(_proofs, schema)
+    way = above[-1].select("g", F.lit(0).cast("long").alias("idx"), F.array().cast(PATH).alias("path"), F.col("node").alias("subroot"))
+    if len(above) > 1:  # else a lone source's root is the top
+        way = _in_blocks(sources.select("g", "idx", "n", "node"), descend(above, way, "merkle-down")).mapInArrow(_ways, _WAY)
+    tops = sources.join(way.select("idx", "path"), "idx")
+    tops = settle(tops.select(F.col("of").alias("g"), F.lit(0).cast("long").alias("idx"), "path", F.col("node").alias("subroot")), "merkle-tops")
+    doc_id = leaves.schema["doc_id"]
+    texts = [T.StructField(c, T.StringType()) for c in ("source", *_HEXES)]
+    schema = T.StructType([doc_id, *texts, T.StructField("verified", T.BooleanType())])
+    return _in_blocks(leaves, descend(below, tops, "merkle-paths")).mapInArrow(_proofs(to_arrow_type(doc_id.dataType)), schema)
