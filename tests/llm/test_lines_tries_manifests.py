@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from trendloom.llm import line_dedup, merkle, prefix_trie
+from trendloom.llm import bloom, line_dedup, merkle, prefix_trie
 
 BLANK = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -67,18 +67,17 @@ def test_lines_with_small_panes_a_full_filter_and_hot_keys_in_parts(spark, line_
     """Neither size of the filters nor parts of hot keys nor flushes show in the result."""
     docs = spark.createDataFrame(line_rows, "doc_id long, text string").repartition(4)
     expected = expected_lines(line_rows, 5, 2)
-    for changed in ({"PANE": 64, "MAX_BITS": 64}, {"PANE": 64, "BITS": 200}, {"FLUSH": 1, "HOT_ROWS": 4}):
+    for changed in ({"PANE": 64, "MAX_BITS": 64}, {"PANE": 64, "BITS": 200}, {"FLUSH": 1}, {"HOT_ROWS": 4}):
         with monkeypatch.context() as m:
             for name, value in changed.items():
-                m.setattr(line_dedup, name, value)
+                m.setattr(line_dedup if name == "HOT_ROWS" else bloom, name, value)
             assert lines_of(line_dedup.remove_repeated_lines(docs, 5, 2)) == expected
 
 
 def test_few_single_keys_are_suspected(spark):
     rows = [(k, "\n".join(f"line {j} of document {k}, met nowhere else" for j in range(200))) for k in range(100)]
     docs = spark.createDataFrame([*rows, (1000, rows[0][1])], "doc_id long, text string").repartition(4)
-    bits = line_dedup.filter_bits(docs)
-    found = line_dedup.suspects(docs, line_dedup.twice_filter(docs, bits), bits)
+    found = line_dedup.suspects(docs)
     assert 400 <= found.count() <= 400 + 0.03 * 20_000
 
 

@@ -6,6 +6,7 @@ import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline
+from test_text_operators import without_later_copies
 from trendloom.llm import decontaminate, quality_rules
 
 
@@ -15,6 +16,9 @@ def test_stages(spark, documents, texts, tmp_path):
     more = [(1000 + k, clean.replace("dog", f"dog{k}") + " ".join(f"{w * 4}{k * j} stands" for j, w in enumerate("abcdefghijklmnop"))) for k in range(5)]
     leak = "what is the capital of the northern province in the year of the great flood"
     more += [(2000, more[0][1] + " " + leak), (2001, more[0][1])]
+    # Two texts of their own that share a passage of 55 words.
+    passage = " ".join(f"shared{k}" for k in range(55))
+    more += [(3000 + j, more[j + 1][1] + " " + " ".join(f"and{j}x{k} the" for k in range(60)) + " " + passage) for j in range(2)]
     extra = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in more], docs.schema)
     docs.union(extra).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -29,6 +33,13 @@ def test_stages(spark, documents, texts, tmp_path):
     assert set(ids[1]) == good and set(range(1000, 1005)) <= good
     assert set(ids[2]) <= set(ids[1]) and 2001 not in ids[2] and 1000 in ids[2]
     assert ids[3] == ids[2]
+    before = [(r.doc_id, r.text) for r in found[2].collect()]
+    expected = without_later_copies(before, corpus_pipeline.REPEATED_BYTES)
+    after = {r.doc_id: r for r in found[3].collect()}
+    for k, t in before:
+        assert after[k].text == (None if t is None else expected[k, t].decode("utf-8", "ignore"))
+        assert after[k].n_chars == (None if t is None else len(after[k].text))
+    assert passage in after[3000].text and passage not in after[3001].text
     cut = {r.doc_id: r.text for r in found[3].collect()}
     held = decontaminate.Leaks([(1, leak)])
     assert set(ids[4]) == {k for k in ids[3] if not held.find(cut[k] or "")} and 2000 not in ids[4]

@@ -31,3 +31,16 @@ def test_quality_rules_on_odd_texts_equal_the_sql(spark, documents):
     expected = {r[0]: dict(zip(names, r, strict=True)) for r in found.fetchall()}
     got = quality_rules.judge(once).select("row.doc_id", *[n for n in names if n != "doc_id"])
     assert {r.doc_id: r.asDict() for r in got.collect()} == expected
+
+
+def test_spans_and_lines_on_odd_texts_equal_the_sql(spark, documents, nothing):
+    from trendloom.llm import line_dedup, span_dedup
+
+    once = documents.dropDuplicates(["doc_id"])
+    con = duckdb.connect()
+    con.register("documents", once.select("doc_id", "text").toArrow())
+    found = con.execute(queries.ORACLE["op3_sentence_spans"]).fetchall()
+    got = span_dedup.remove_repeated_spans(once).selectExpr("row.doc_id", "n_sentences", "size(removed) n", "sha2(kept_text, 256) s")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(found) and any(r[2] for r in found)
+    found = con.execute(queries.ORACLE["op11_line_dedup"]).fetchall()
+    assert sorted(tuple(r) for r in line_dedup.digests(once).collect()) == sorted(found)

@@ -165,6 +165,31 @@ def test_repeated_strings_equal_brute_force(monkeypatch, documents, texts, piece
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == expected
 
 
+def without_later_copies(rows, size):
+    """Texts by (id, text) without what strings cover that start at an earlier place too."""
+    first, out = {}, {}
+    for doc, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - size + 1):
+            if first.setdefault(raw[k : k + size], (doc, k)) != (doc, k):
+                gone[k : k + size] = b"\1" * size
+        out[doc, text] = bytes(x for x, g in zip(raw, gone, strict=True) if not g)
+    return out
+
+
+@pytest.mark.parametrize("size", [144, 250])
+def test_first_copies_stay(spark, documents, texts, size):
+    more = [(500, "ab" * 300 + texts[11]), (501, "x" + "ab" * 200), (502, "one more " + texts[11] + texts[12]), (None, texts[12]), (None, None)]
+    docs = documents.select("doc_id", "text", F.lit(1).alias("my key")).union(spark.createDataFrame([(*r, 1) for r in more], "doc_id long, text string, k int"))
+    found = suffix_dedup.remove_repeats(docs, size, keep_first=True)
+    expected = without_later_copies([(r.doc_id, r.text) for r in docs.collect()], size)
+    rows = found.collect()
+    assert len(rows) == docs.count() and found.select("row.*").columns == docs.columns
+    assert all(bytes(r.kept) == expected[r.row.doc_id, r.row.text] for r in rows)
+    assert sum(r.n_removed > 0 for r in rows) > 10
+
+
 def test_cut_documents_keep_their_columns(documents):
     cut = suffix_dedup.cut_documents(documents)
     assert cut.columns == documents.columns and cut.count() == documents.count()
@@ -177,6 +202,22 @@ def test_spans_over_repeated_rows_and_clashing_columns(documents):
     assert got.where("size(removed) = 0 AND kept_text <> coalesce(text, '')").count() == 0
 
 
+def test_spans_of_a_passage_in_two_long_sentences(spark):
+    first, second = "one " * 26 + "one.", "two " * 26 + "two."
+    rows = [(1, f"A start. {first} {second} An end."), (2, f"Another. {first} {second} Other end."), (3, f"Third. {second}"), (4, f"It goes on, {first} {second}")]
+    found = by_id(span_dedup.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), width=2).select("row.doc_id", "kept_text"))
+    assert [found[k].kept_text for k in (1, 2, 3, 4)] == [rows[0][1], "Another. Other end.", rows[2][1], "It goes on,"]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab .!,;:\n\t\x0bé", max_size=60))
+def test_pieces_of_any_text(text):
+    cut = span_dedup.cutter()
+    own = span_dedup.pieces(text.encode(), cut)
+    assert all(p == p.strip() and p for p in own)
+    assert b"".join(b"".join(own).split()) == b"".join(text.encode().split())
+
+
 # Benchmark
 
 

@@ -2,37 +2,31 @@
 
 A line's key is the line without blanks at both ends, A-Z lower-cased. Three passes over the texts:
 
-1. *Mark.* Every task sets its keys' bits in a pair of filters: keys it has met, and keys it has
-   met in two documents. Filters are cut into panes; a pane's pairs are merged bit by bit (a bit
-   of two tasks' first filters is a bit of the second), so no key found in two documents is missed.
+1. *Mark.* Tasks fill a pair of Bloom filters, for keys met once and keys met in two documents, and
+   merge them pane by pane (``bloom``).
 2. *Suspect.* The second filter, of a fixed greatest size, is broadcast. Only keys that it holds
    are shuffled, as 16-byte hashes with their document, and counted exactly; keys found in
    ``min_docs`` documents or more lose their lines everywhere but in one document.
 3. *Drop.* Documents meet the keys that they lose, and are split once more.
 
-The filters have ``BITS`` bits a line up to ``MAX_BITS`` in all. Beyond that they fill up and
-suspect more keys (about 1.4 % of single ones at 16 bits a line, 40 % at two), which the count
-clears: the result never depends on their size, and the shuffle is at most 24 bytes a line.
+However full the filters are, the result is the same; the shuffle is at most 24 bytes a line.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trendloom.llm.common import settle, whole_text
+from trendloom.llm import bloom
+from trendloom.llm.bloom import by_parts
+from trendloom.llm.common import settle
 
 MIN_CHARS, MIN_DOCS = 20, 3
-BITS, MAX_BITS, PANE = 16, 1 << 30, 1 << 20
-#: Keys a task collects before it hands over its filters' bits.
-FLUSH = 1 << 19
 #: A key in more documents than this is joined in parts of this size.
 HOT_ROWS = 100_000
 
@@ -48,119 +42,21 @@ def key_of(line: bytes, min_chars: int) -> bytes | None:
 
 
 def keys_of(text: bytes, min_chars: int) -> set[bytes]:
+    """The distinct keys of a text."""
     found = {key_of(line, min_chars) for line in text.split(b"\n")} if len(text) >= min_chars else set()
     found.discard(None)
     return found
 
 
-def places(keys: list[bytes], bits: int) -> np.ndarray:
-    """Two bits a key, as an array of two columns."""
-    halves = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
-    return halves % np.uint64(bits)
-
-
-def _pack(at: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(np.unique(at), prepend=np.uint64(0)).astype("<u4").tobytes(), 1)
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(raw), "<u4"), dtype=np.uint64)
-
-
-def _by_pane(at: np.ndarray) -> dict[int, bytes]:
-    at = np.unique(at)
-    panes = at // np.uint64(PANE)
-    cuts = np.flatnonzero(np.diff(panes)) + 1
-    return {int(p[0]) // PANE: _pack(p % np.uint64(PANE)) for p in np.split(at, cuts) if len(p)}
-
-
-def _marks(bits: int, min_chars: int):
-    def flush(keys: list[bytes]) -> pa.RecordBatch:
-        distinct, n = np.unique(np.frombuffer(b"".join(keys), "V16"), return_counts=True)
-        own = places([distinct.tobytes()], bits)
-        once, twice = _by_pane(own.ravel()), _by_pane(own[n > 1].ravel())
-        panes = list(once)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(panes, pa.int32()), pa.array([once[p] for p in panes], pa.binary()), pa.array([twice.get(p) for p in panes], pa.binary())],
-            ["pane", "once", "twice"],
-        )
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[bytes] = []
-        for batch in batches:
-            for text in batch.column(0):
-                keys.extend(keys_of(text.as_py(), min_chars))
-                if len(keys) >= FLUSH:
-                    yield flush(keys)
-                    keys = []
-        if keys:
-            yield flush(keys)
-
-    return work
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The second filter's panes, from rows sorted by pane."""
-
-    def done(pane: int, twice: np.ndarray) -> pa.RecordBatch:
-        raw = zlib.compress(np.packbits(twice).tobytes(), 1)
-        return pa.RecordBatch.from_arrays([pa.array([pane], pa.int32()), pa.array([raw], pa.binary())], ["pane", "bits"])
-
-    now, once, twice = None, np.zeros(0, bool), np.zeros(0, bool)
-    for batch in batches:
-        for pane, o, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if pane != now:
-                if now is not None:
-                    yield done(now, twice)
-                now, once, twice = pane, np.zeros(PANE, bool), np.zeros(PANE, bool)
-            at = _unpack(o)
-            twice[at] |= once[at]
-            once[at] = True
-            if t is not None:
-                twice[_unpack(t)] = True
-    if now is not None:
-        yield done(now, twice)
-
-
-def filter_bits(docs: DataFrame, min_chars: int = MIN_CHARS) -> int:
-    """Size of a filter: whole panes, ``BITS`` a line that may be long enough, at most ``MAX_BITS``."""
+def suspects(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Columns ``id, key``: the keys of every row that some two rows may share."""
     size = F.octet_length("text")
     lines = F.least(size - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.floor(size / (min_chars + 1)) + 1)
-    n = docs.where(F.octet_length("text") >= min_chars).agg(F.sum(lines)).first()[0] or 0
-    return min(MAX_BITS, PANE * max(1, -(-n * BITS // PANE)))
-
-
-def twice_filter(docs: DataFrame, bits: int, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Columns ``pane, bits``: the packed panes of the filter of keys met in two documents."""
-    texts = docs.where(F.octet_length("text") >= min_chars).select(F.col("text").cast("binary").alias("text"))
-    marks = texts.mapInArrow(_marks(bits, min_chars), "pane int, once binary, twice binary")
-    return settle(marks.repartition("pane").sortWithinPartitions("pane").mapInArrow(_merge, "pane int, bits binary"), "line-filter")
-
-
-def suspects(docs: DataFrame, panes: DataFrame, bits: int, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Columns ``id, key``: the keys of every row that the filter holds."""
-    # At most MAX_BITS bits, whatever the size of the input.
-    held = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in panes.collect()])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = np.zeros(bits // 8, np.uint8)
-        for pane, raw in held.value:
-            twice[pane * PANE // 8 : (pane + 1) * PANE // 8] = np.frombuffer(zlib.decompress(raw), np.uint8)
-        for batch in batches:
-            keys, of = [], []
-            for k, text in enumerate(batch.column(1)):
-                own = keys_of(text.as_py(), min_chars)
-                keys.extend(own)
-                of.extend([k] * len(own))
-            if keys:
-                at = places(keys, bits)
-                hit = np.flatnonzero(((twice[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1).all(axis=1))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(np.array(of, np.int64)[hit])), pa.array([keys[i] for i in hit], pa.binary())], ["id", "key"]
-                )
-
-    texts = docs.where(F.octet_length("text") >= min_chars).select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(work, T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("key", T.BinaryType())]))
+    long_enough = docs.where(size >= min_chars)
+    bits = bloom.bits_for(long_enough.agg(F.sum(lines)).first()[0] or 0)
+    texts = long_enough.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
+    keys = lambda text: list(keys_of(text, min_chars))
+    return bloom.held(texts, keys, bloom.twice_filter(texts, keys, bits, "line"), bits).select("id", "key")
 
 
 def lost_keys(found: DataFrame, min_docs: int = MIN_DOCS, keep: str = "last") -> DataFrame:
@@ -171,13 +67,7 @@ def lost_keys(found: DataFrame, min_docs: int = MIN_DOCS, keep: str = "last") ->
     pairs = settle(found.groupBy("key", "id").agg(F.count(F.lit(1)).alias("n")).select("key", "id"), "line-suspects")
     best = F.max if keep == "last" else F.min
     counted = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), best(F.struct("id")).alias("kept")).where(F.col("n") >= min_docs)
-    repeated = settle(counted.select("key", "kept", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("parts")), "line-keys")
-    # At most one row for HOT_ROWS pairs.
-    hot = F.broadcast(repeated.where("parts > 1").select("key", F.col("parts").alias("of")))
-    part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("of")).cast("int"), F.lit(0))
-    dealt = pairs.join(hot, "key", "left").select("key", "id", part.alias("part"))
-    spread = repeated.select("key", "kept", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    lost = dealt.join(spread, ["key", "part"]).where(~F.col("id").eqNullSafe(F.col("kept.id")))
+    lost = by_parts(pairs, counted, "id", HOT_ROWS, "line").where(~F.col("id").eqNullSafe(F.col("kept.id")))
     return lost.groupBy("id").agg(F.collect_list("key").alias("keys"))
 
 
@@ -185,7 +75,9 @@ def _dropped(min_chars: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, gone, kept = [], [], []
-            for text, keys in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            # The text is taken from the row, so that it is shuffled and sent once.
+            for value, keys in zip(batch.column(0).field("text"), batch.column(1).to_pylist(), strict=True):
+                text = (value.as_py() or "").encode()
                 lines = text.split(b"\n")
                 lost = set(keys or ())
                 left = [x for x in lines if key_of(x, min_chars) not in lost] if lost else lines
@@ -210,10 +102,9 @@ def remove_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs:
     """
     if keep not in ("first", "last"):
         raise ValueError(f"keep is 'first' or 'last', not {keep!r}")
-    bits = filter_bits(docs, min_chars)
-    lost = lost_keys(suspects(docs, twice_filter(docs, bits, min_chars), bits, min_chars), min_docs, keep)
-    d = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), whole_text().cast("binary").alias("text")).alias("d")
-    rows = d.join(lost.alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")), "left").select("row", "text", "keys")
+    lost = lost_keys(suspects(docs, min_chars), min_docs, keep)
+    d = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id")).alias("d")
+    rows = d.join(lost.alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")), "left").select("row", "keys")
     kinds = {"n_lines": T.LongType(), "n_dropped": T.LongType(), "kept_text": T.StringType()}
     schema = T.StructType([rows.schema["row"], *[T.StructField(n, k) for n, k in kinds.items()]])
     return rows.mapInArrow(_dropped(min_chars), schema)

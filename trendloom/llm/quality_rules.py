@@ -100,20 +100,44 @@ def compile_rules(rules: tuple[Rule, ...], value) -> Column:
     return reduce(Column.__and__, held, F.lit(True))
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, BLANKS), lambda w: w != "")
+
+
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _base_failed(value) -> Column:
+    return (value("n_words") < 20) | (value("n_repeat_words") * 100 > value("n_words") * 30)
+
+
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Columns ``row`` (the whole input row), the measures, ``base_failed`` and ``kept``.
 
     Taking the row as one column keeps the names of further columns from clashing with ours.
     """
     text = whole_text()
-    words = F.filter(F.split(text, BLANKS), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    cut = docs.select(F.struct("*").alias("row"), text.alias("text"), words.alias("words"), lines.alias("lines"))
+    cut = docs.select(F.struct("*").alias("row"), text.alias("text"), _words(text).alias("words"), _lines(text).alias("lines"))
     found = cut.select("row", *[c.alias(n) for n, c in measures(F.col("words"), F.col("lines"), F.col("text")).items()])
-    failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
+    failed = _base_failed(F.col)
     return found.withColumn("base_failed", failed).withColumn("kept", ~failed & compile_rules(rules, F.col))
 
 
 def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that pass, with the columns they came with."""
-    return judge(docs, rules).where("kept").select("row.*")
+    """The documents that pass, with the columns they came with.
+
+    One condition on the text. Filtering the rows of ``judge`` would push the filter below the
+    measures, which are then computed anew wherever it names them.
+    """
+
+    def passes(measured: Column) -> Column:
+        value = measured.getField
+        return ~_base_failed(value) & compile_rules(rules, value)
+
+    def measured(cut: Column) -> Column:
+        found = measures(cut["words"], cut["lines"], cut["text"])
+        return let(F.struct(*[c.alias(n) for n, c in found.items()]), passes)
+
+    text = whole_text()
+    return docs.where(let(F.struct(text.alias("text"), _words(text).alias("words"), _lines(text).alias("lines")), measured))

@@ -136,17 +136,19 @@ FROM hosts h LEFT JOIN verdict v USING (page_id)
 _OP3 = r"""
 WITH parts AS (
   SELECT doc_id, coalesce(text, '') AS text, list_filter(list_transform(
-    string_split(regexp_replace(coalesce(text, ''), '([.!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)),
+    string_split(regexp_replace(coalesce(text, ''), '([.!?,;:])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)),
     lambda s: regexp_replace(s, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda s: s <> '') AS parts
   FROM documents),
 starts AS (
   SELECT doc_id, parts, unnest(generate_series(1, greatest(len(parts) - 2, 1))) AS i FROM parts WHERE len(parts) > 0),
-spans AS (
-  SELECT doc_id, i, parts[i : i + 2] AS span FROM starts
-  WHERE list_sum(list_transform(parts[i : i + 2], lambda s: len(regexp_split_to_array(s, '[\x20\x09-\x0D]+')))) >= 20),
-ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY span ORDER BY doc_id, i) AS nth FROM spans),
-gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS j FROM ranked WHERE nth > 1),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY parts[i : i + 2] ORDER BY doc_id, i) AS nth FROM starts),
+covered AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS j FROM ranked WHERE nth > 1),
 each AS (SELECT doc_id, unnest(parts) AS part, unnest(generate_series(1, len(parts))) AS j FROM parts WHERE len(parts) > 0),
+stretches AS (
+  SELECT c.doc_id, c.j, len(regexp_split_to_array(e.part, '[\x20\x09-\x0D]+')) AS n,
+    c.j - row_number() OVER (PARTITION BY c.doc_id ORDER BY c.j) AS stretch
+  FROM covered c JOIN each e ON e.doc_id = c.doc_id AND e.j = c.j),
+gone AS (SELECT doc_id, j FROM stretches QUALIFY sum(n) OVER (PARTITION BY doc_id, stretch) >= 35),
 kept AS (
   SELECT e.doc_id, count(g.j) AS n_removed, coalesce(string_agg(e.part, ' ' ORDER BY e.j) FILTER (WHERE g.j IS NULL), '') AS left_text
   FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.j = e.j GROUP BY e.doc_id)
