@@ -23,9 +23,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.keep_one_of_each(docs)
 
 
+#: Bytes of the strings that may stand only once: fewer than 51 short words have.
+REPEATED_BYTES = 250
+
+
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the byte strings that repeat among those still here."""
-    return suffix_dedup.cut_documents(docs)
+    """All documents, without later copies of byte strings that repeat among those still here."""
+    return suffix_dedup.cut_documents(docs, REPEATED_BYTES)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
