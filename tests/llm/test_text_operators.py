@@ -405,3 +405,24 @@ def test_empty_tables(spark, nothing):
         near_dedup.keep_one_of_each(nothing), suffix_dedup.cut_documents(nothing),
     ):
         assert found.count() == 0
+
+
+# What a worker holds
+
+
+def test_later_tasks_of_a_worker_find_what_earlier_ones_made(spark):
+    import os
+
+    import pyarrow as pa
+
+    from trendloom.llm.common import worker_wide
+
+    def work(batches):
+        made = []
+        for _ in batches:
+            pass
+        worker_wide(("test", "tasks"), lambda: made.append(1) or [])
+        yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([len(made)])], ["pid", "made"])
+
+    rows = spark.range(12).repartition(12).mapInArrow(work, "pid long, made long").collect()
+    assert len(rows) > len({r.pid for r in rows}) >= sum(r.made for r in rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import builtins
 import gc
 from collections.abc import Callable
 
@@ -15,6 +16,10 @@ from trendloom.session import scratch_dir
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+#: Objects that a worker holds for later tasks.
+HELD = 4
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,6 +48,20 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def worker_wide(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives, once for all tasks of a Python worker.
+
+    This package travels with every task, so its own globals are new in each; those of an installed
+    module are not. The last few objects are held.
+    """
+    held = vars(builtins).setdefault("_trendloom_held", {})
+    if key not in held:
+        while len(held) >= HELD:
+            held.pop(next(iter(held)))
+        held[key] = make()
+    return held[key]
+
+
 class Codes(dict):
     """64-bit codes of words, remembered up to a fixed number of words per Python worker."""
 

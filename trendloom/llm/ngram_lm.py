@@ -15,8 +15,8 @@ Probabilities are interpolated: ``P(w | v) = max(c(v, w) - D, 0) / c(v) + rest(v
 ``P(w) = (c(w) + 1) / (N + V + 1)``. Pairs seen fewer than ``least`` times are left to the second
 term; the registered query stores every pair (``least`` 1). Bytes hold the logarithm in steps of 1/32, rounded down, so that no distribution exceeds one.
 
-Counts cover all training documents. Words and pairs are counted per batch before any shuffle; a
-pair is counted only if both of its words occur ``least`` times, which no pair that does fails.
+Counts cover all training documents. Words and pairs are counted per group of texts before any
+shuffle; a pair is counted only if both of its words occur ``least`` times, which no pair that does fails.
 """
 
 from __future__ import annotations
@@ -208,61 +208,111 @@ def _write_words(folder: str):
     return work
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers by byte, the lowest of all first; upper bytes that are all zero are left out."""
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(raw: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    width = raw[at]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 1).reshape(width, n).T
+    return out.view("<u8").ravel(), at + 1 + n * width
+
+
+def pack(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted keys and their counts: some five bytes a pair, once the shuffle has compressed them."""
+    return len(keys).to_bytes(4, "little") + _planes(np.diff(keys, prepend=0)) + _planes(n)
+
+
+def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size = int.from_bytes(raw[:4], "little")
+    gaps, at = _from_planes(raw, 4, size)
+    return np.cumsum(gaps.astype(np.int64)), _from_planes(raw, at, size)[0].astype(np.int64)
+
+
 def _count_pairs(trie: Trie, least: int):
+    """The pairs of some texts, counted, as a block for each file they belong to."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(trie)
         for _, flat, _ in _groups(batches):
             words, place = np.unique(flat, return_inverse=True)
             number, count = reader.lookup(words)
+            dense = reader.dense(number)
             before = np.searchsorted(words, END)
             left, right = np.r_[before, place[:-1]], place
             both = (count[left] >= least) & (count[right] >= least)
             pairs, n = np.unique(left[both] * len(words) + right[both], return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(number[pairs // len(words)]), pa.array(number[pairs % len(words)]), pa.array(n)], ["v", "w", "n"]
-            )
+            v, w = pairs // len(words), pairs % len(words)
+            file = (number[v] >> SHARD_BIT) * trie.split + dense[w] % trie.split
+            key = (number[v] & ((1 << SHARD_BIT) - 1)) * trie.words + dense[w]
+            order = np.lexsort((key, file))
+            file, key, n = file[order], key[order], n[order]
+            cuts = np.r_[0, np.flatnonzero(np.diff(file)) + 1, len(file)] if len(file) else np.zeros(1, np.int64)
+            blocks = [pack(key[i:j], n[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(file[cuts[:-1]] if len(file) else [], pa.int64()), pa.array(blocks, pa.binary())], ["file", "block"])
 
     return work
 
 
-def _write_successors(trie: Trie):
+def _write_successors(trie: Trie, least: int):
+    """Writes the files and passes on, for each, what its contexts' successors sum up to."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, done = Reader(trie), []
-        for f, (v, w, n) in _by_key(batches):
+        reader, held = Reader(trie), {}
+        for batch in batches:
+            for f, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(f, []).extend([block] if block else [])
+        while held:
+            f, blocks = held.popitem()
             s = f // trie.split
+            if not trie.sizes[s]:
+                continue
+            parts = [unpack(b) for b in blocks] or [(np.zeros(0, np.int64),) * 2]
+            keys, which = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            n = np.zeros(len(keys), np.int64)
+            np.add.at(n, which, np.concatenate([c for _, c in parts]))
+            keys, n = keys[n >= least], n[n >= least]
+            place, following = keys // trie.words, keys % trie.words
             sums = EliasFano(*reader._file(f"words-{s}", [np.uint64] * 8)[4:])
-            place, following = v & ((1 << SHARD_BIT) - 1), reader.dense(w)
-            order = np.lexsort((following, place))
-            place, following, n = place[order], following[order], n[order]
             first = np.searchsorted(place, np.arange(trie.sizes[s] + 1))
             # Each range goes on from the last number of the range before it.
-            last = np.r_[place[1:] != place[:-1], True]
+            last = np.r_[place[1:] != place[:-1], np.ones(min(1, len(place)), bool)]
             ends = np.cumsum(np.where(last, following + 1, 0))
-            ids = following + 1 + np.r_[0, ends[:-1]]
+            ids = following + 1 + np.r_[0, ends[:-1]][: len(place)]
             own = (sums.at(place + 1) - sums.at(place)).astype(np.float64)
             put(
                 f"{trie.folder}/successors-{f}",
                 EliasFano.build(first).arrays() + EliasFano.build(ids).arrays() + [to_byte((n - DISCOUNT) / own)],
             )
-            done.append((f, len(v)))
-        yield _written(done)
+            context = place[last]
+            ends_at = np.flatnonzero(last)
+            kinds = np.diff(ends_at, prepend=-1)
+            seen = np.diff(np.cumsum(n)[ends_at], prepend=0)
+            row = [[s], *[[x.astype(k).tobytes()] for x, k in ((context, "<u4"), (kinds, "<u4"), (seen, "<i8"))]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, k) for x, k in zip(row, [pa.int64(), *[pa.binary()] * 3], strict=True)], ["shard", "place", "kinds", "n"]
+            )
 
     return work
 
 
 def _write_rest(trie: Trie):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, done = Reader(trie), []
-        for s, (v, kinds, n) in _by_key(batches):
-            weight = np.zeros(trie.sizes[s], np.uint8)
-            sums = EliasFano(*reader._file(f"words-{s}", [np.uint64] * 8)[4:])
-            # A row for each shard without number makes sure that every shard has its file.
-            place = v[v >= 0] & ((1 << SHARD_BIT) - 1)
-            own = (sums.at(place + 1) - sums.at(place)).astype(np.float64)
-            weight[place] = to_byte(1 - (n[v >= 0] - DISCOUNT * kinds[v >= 0]) / own)
-            put(f"{trie.folder}/rest-{s}", [weight])
-            done.append((s, len(place)))
-        yield _written(done)
+        reader, sums_of = Reader(trie), {}
+        for batch in batches:
+            for s, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                place, kinds, n = (np.frombuffer(r, k) for r, k in zip(raw, ("<u4", "<u4", "<i8"), strict=True))
+                taken = sums_of.setdefault(s, np.zeros(trie.sizes[s]))
+                taken[place] += n - DISCOUNT * kinds
+        for s, taken in sums_of.items():
+            counts = EliasFano(*reader._file(f"words-{s}", [np.uint64] * 8)[4:])
+            every = np.arange(trie.sizes[s])
+            own = (counts.at(every + 1) - counts.at(every)).astype(np.float64)
+            put(f"{trie.folder}/rest-{s}", [np.where(taken > 0, to_byte(1 - taken / own), 0).astype(np.uint8)])
+        yield _written([(s, len(t)) for s, t in sums_of.items()])
 
     return work
 
@@ -270,7 +320,8 @@ def _write_rest(trie: Trie):
 def train(docs: DataFrame, label: str = "ngrams", least: int = LEAST) -> Trie:
     """Count the words and pairs of ``docs(text)`` and write the trie to the shared folder.
 
-    Pairs seen fewer than ``least`` times are not stored.
+    Pairs seen fewer than ``least`` times are not stored. Pairs are shuffled once, in packed blocks,
+    to the file they belong to, and counted and written there.
     """
     spark = docs.sparkSession
     texts = docs.select(whole_text().alias("text"))
@@ -281,32 +332,17 @@ def train(docs: DataFrame, label: str = "ngrams", least: int = LEAST) -> Trie:
     shard = F.shiftrightunsigned("word", 64 - bits) if bits else F.lit(0).cast("long")
     dealt = words.select(shard.alias("file"), "word", "n").repartition(1 << bits, "file")
     sizes = {r.file: r.n for r in dealt.mapInArrow(_write_words(folder), "file long, n long").collect()}
-    trie = Trie(folder, bits, tuple(sizes.get(s, 0) for s in range(1 << bits)), total)
+    # There are at most as many pairs as tokens.
+    split = 1 + total // (SUCCESSORS << bits)
+    trie = Trie(folder, bits, tuple(sizes.get(s, 0) for s in range(1 << bits)), total, split)
     if not total:
         return trie
-    counted = texts.mapInArrow(_count_pairs(trie, least), "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
-    pairs = settle(counted.where(F.col("n") >= least), f"{label}-pairs")
-    split = 1 + pairs.count() // (SUCCESSORS << bits)
-    trie = Trie(folder, bits, trie.sizes, total, split)
     files = (1 << bits) * split
-    # The dense number of a successor, computed from its shard's first number.
-    starts = np.r_[0, np.cumsum(trie.sizes)].tolist()
-    first = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.shiftright("w", SHARD_BIT).cast("int") + 1)
-    dense = first + F.col("w").bitwiseAND((1 << SHARD_BIT) - 1)
-    shard = F.shiftright("v", SHARD_BIT)
-    every = spark.range(files).select(F.col("id").alias("file"))
-    dealt = pairs.select((shard * split + F.pmod(dense, F.lit(split))).alias("file"), "v", "w", "n").repartition(files, "file")
-    made = {r.file for r in dealt.mapInArrow(_write_successors(trie), "file long, n long").collect()}
-    none = [np.zeros(0, np.uint64)]
-    for f in set(range(files)) - made:
-        if trie.sizes[f // split]:
-            pointers = EliasFano.build(np.zeros(trie.sizes[f // split] + 1, np.uint64)).arrays()
-            put(f"{folder}/successors-{f}", pointers + EliasFano.build(none[0]).arrays() + [np.zeros(0, np.uint8)])
-    left = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
-    marks = every.where(F.col("file") < (1 << bits)).select("file", F.lit(-1).cast("long").alias("v"), F.lit(0).cast("long").alias("kinds"), F.lit(0).cast("long").alias("n"))
-    present = marks.where(F.col("file").isin([s for s in range(1 << bits) if trie.sizes[s]]))
-    rows = left.select(F.shiftright("v", SHARD_BIT).alias("file"), "v", "kinds", "n").union(present)
-    rows.repartition(1 << bits, "file").mapInArrow(_write_rest(trie), "file long, n long").collect()
+    blocks = texts.mapInArrow(_count_pairs(trie, least), "file long, block binary")
+    # An empty block for each, so that every file is written.
+    every = spark.range(files).select(F.col("id").alias("file"), F.lit(None).cast("binary").alias("block"))
+    sums = blocks.union(every).repartition(files, "file").mapInArrow(_write_successors(trie, least), "shard long, place binary, kinds binary, n binary")
+    sums.repartition(1 << bits, "shard").mapInArrow(_write_rest(trie), "file long, n long").collect()
     return trie
 
 

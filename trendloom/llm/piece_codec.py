@@ -19,6 +19,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.llm.common import worker_wide
+
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 CUT = re.compile(f"[^{MARK}]{MARK}")
@@ -254,13 +256,8 @@ class Codec:
             yield n + 1, ids.hexdigest(), decoded.hexdigest()
 
 
-_LOADED: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    if path not in _LOADED:
-        _LOADED[path] = Codec(path)
-    return _LOADED[path]
+    return worker_wide(("codec", path), lambda: Codec(path))
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:

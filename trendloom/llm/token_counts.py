@@ -9,6 +9,7 @@ the first pass sends at most ``KEEP`` counters per task, the second sends nothin
 from __future__ import annotations
 
 import os
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from trendloom.llm.common import worker_wide
+
 #: Pre-tokens a task reports, and the size of the broadcast table.
 KEEP, TABLE = 4_096, 50_000
 #: Pre-tokens a worker counts or remembers at once; longer texts are cut to pieces of so many characters.
@@ -29,17 +32,16 @@ ALIKE = regex.compile(r"[\x00-ԯ -⁯₠-₿　-鿿가-힣＀-￯]*+")
 #: A pre-token always starts at a blank between a visible character and a letter.
 SAFE_CUT = regex.compile(r"(?<=\S) (?=\p{L})")
 
-_LOADED: dict[str, Tokenizer] = {}
-
 
 def load(path: str) -> Tokenizer:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _LOADED:
+    def make() -> Tokenizer:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        _LOADED[path] = tokenizer
-    return _LOADED[path]
+        return tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return worker_wide(("tokenizer", path), make)
 
 
 #: The printable stand-ins of bytes that byte-level models are written in: printable Latin-1
@@ -122,9 +124,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     words = [row.word for row in _frequent_pre_tokens(docs).collect()]
     frequent = dict(zip(words, lengths(load(path), words), strict=True))
     tier = docs.sparkSession.sparkContext.broadcast(frequent)
+    run = uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counting = Counting(path, tier.value)
+        counting = worker_wide(("counting", path, run), lambda: Counting(path, tier.value))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n = [counting.text(t) for t in texts]
