@@ -62,6 +62,13 @@ def worker_wide(key: tuple, make: Callable[[], object]) -> object:
     return held[key]
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Rows that hold whole texts go to Python in smaller batches, unless the session says how many."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, rows)
+
+
 class Codes(dict):
     """64-bit codes of words, remembered up to a fixed number of words per Python worker."""
 

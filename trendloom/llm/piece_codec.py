@@ -25,7 +25,7 @@ MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 CUT = re.compile(f"[^{MARK}]{MARK}")
 #: Characters encoded together, chunks a worker remembers.
-GROUP, REMEMBER = 2_000_000, 300_000
+GROUP, REMEMBER = 500_000, 150_000
 NONE = np.iinfo(np.int64).max
 #: An odd multiplier that spreads keys over a table's places.
 SPREAD = 0x9E3779B97F4A7C15
@@ -192,8 +192,8 @@ def segments(text: str) -> Iterator[str]:
 class Codec:
     """Encodes and decodes texts, remembering a bounded number of chunks."""
 
-    def __init__(self, path: str):
-        self.pieces = PieceTable(path)
+    def __init__(self, pieces: PieceTable):
+        self.pieces = pieces
         # Chunk to its ids as text, and to its bytes; chunks of the generation before move over when met again.
         self.ids_of: dict[str, str] = {}
         self.bytes_of: dict[str, bytes] = {}
@@ -257,7 +257,8 @@ class Codec:
 
 
 def codec(path: str) -> Codec:
-    return worker_wide(("codec", path), lambda: Codec(path))
+    """A codec whose piece table the worker holds; what it learns goes with the task."""
+    return Codec(worker_wide(("pieces", path), lambda: PieceTable(path)))
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
