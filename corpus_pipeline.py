@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from trendloom.llm import decontaminate, near_dedup, piece_codec, quality_rules, suffix_dedup
-from trendloom.llm.common import settle, table
+from trendloom.llm.common import settle, small_batches, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near copies."""
+    small_batches(spark)
     return near_dedup.keep_one_of_each(docs)
 
 
@@ -29,6 +30,7 @@ REPEATED_BYTES = 250
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without later copies of byte strings that repeat among those still here."""
+    small_batches(spark)
     return suffix_dedup.cut_documents(docs, REPEATED_BYTES)
 
 
@@ -39,6 +41,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the text decoded from them, by document."""
+    small_batches(spark)
     return piece_codec.digest_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
