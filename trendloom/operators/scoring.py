@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trendloom.operators import results
 from trendloom.operators.reshape import keep_first, membership_join
 from trendloom.session import scratch_dir
 
@@ -68,22 +69,22 @@ def unprocessed(
     return membership_join(docs, finished.select(id_col).distinct(), [id_col], "left_anti", hot_rows)
 
 
-def append_results(results: DataFrame, path: str, batch: int, run: str = "0") -> None:
-    """Write one batch below its own folder. Doing it again replaces the batch, so a run broken
-    off half-way can simply be repeated; batches of other numbers or runs are never rewritten."""
-    results.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={run}/batch={batch}")
+def append_results(out: DataFrame, path: str, batch: int, run: str = "0") -> None:
+    """Add one batch to the result table. Doing it again replaces the batch, so a run broken off
+    half-way can simply be repeated; batches of other numbers or runs stay as they are."""
+    results.append(out, path, batch, run)
 
 
 def read_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    folders = [T.StructField("run", T.StringType()), T.StructField("batch", T.IntegerType())]
-    return spark.read.schema(T.StructType([*schema.fields, *folders])).option("basePath", path).parquet(path)
+    """The result table with the columns ``run`` and ``batch``."""
+    return results.read(spark, path, schema)
 
 
-def latest_results(results: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def latest_results(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One result per document: a success if there is one, then the newest run's newest batch."""
     started = F.split_part(F.col("run"), F.lit("-"), F.lit(1)).try_cast("bigint")
     order = [F.col("status") != "success", -F.coalesce(started, F.lit(0)), -F.col("batch")]
-    return keep_first(results, [id_col], order)
+    return keep_first(found, [id_col], order)
 
 
 def new_run() -> str:
@@ -96,6 +97,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def run_resumable(
     docs: DataFrame, label: Callable[[DataFrame, int], DataFrame], path: str, id_col: str = "doc_id",
     retry_failed: bool = False, rows_per_task: int = 10_000, tasks_per_write: int = 1000,
@@ -105,6 +111,7 @@ def run_resumable(
     What is to be done is landed in the shared folder, ``rows_per_task`` rows a file, and labelled
     ``tasks_per_write`` files at a time by ``label(part, tasks)``. Each part's results are written
     before the next is begun, so a run broken off loses one part, and calling again does the rest.
+    What was landed goes when all is done; the result table merges its small files.
     Don't join the frames of two calls: Spark takes two readings of one folder for the same rows.
     """
     spark = docs.sparkSession
@@ -119,6 +126,8 @@ def run_resumable(
         append_results(label(read.parquet(*part), len(part)), path, batch, run)
     if not exists(spark, path):
         append_results(label(docs.limit(0), 1), path, 0, run)
+    results.compact(spark, path, schema)
+    delete(spark, landed)
     return latest_results(read_results(spark, path, schema), id_col)
 
 

@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trendloom.operators.reshape import keep_first
+from trendloom.operators import results
 from trendloom.operators.scoring import append_results, exists, new_run, read_results, unprocessed
+from trendloom.session import scratch_dir
+
+#: Parts that the ids of earlier results are landed in.
+PARTS = 256
+
+
+def settled(batch: DataFrame, label: str) -> DataFrame:
+    """A micro-batch read from the shared folder: its ids are looked at twice, its state once."""
+    path = scratch_dir(batch.sparkSession, label)
+    batch.write.parquet(path)
+    return batch.sparkSession.read.schema(batch.schema).parquet(path)
 
 
 def _run_of(spark: SparkSession, checkpoint: str) -> str:
@@ -33,26 +45,55 @@ def score_landing(
 ) -> None:
     """Label every new document below ``landing`` once, then stop.
 
-    The checkpoint remembers the files taken; ids already in the result table are skipped, so
-    the state lives in that table and does not grow in memory. A micro-batch writes its own
-    folder and replaces it when replayed. The folders are kept apart by checkpoint: a stream
-    begun afresh under a new one leaves earlier results alone and skips their ids.
+    The checkpoint remembers the files taken and, in a keyed state store, the ids taken: a
+    micro-batch looks up its own ids there and reads no result. Of several copies of an id in one
+    micro-batch any one is taken. A batch that is replayed replaces its results.
 
-    Every micro-batch reads the ids done so far, so ``files_per_batch`` should be large.
+    A stream begun afresh beside earlier results skips their ids. They are landed beside the
+    checkpoint once, by a hash of the id, and a micro-batch reads the parts its ids fall into.
     """
     run = _run_of(spark, checkpoint)
-    seen_before = exists(spark, out)
+    earlier = _earlier_ids(spark, out, result_schema, run, checkpoint, id_col)
 
     def handle(batch: DataFrame, number: int) -> None:
-        fresh = keep_first(batch, [id_col])
-        if seen_before or number > 0:
-            done = read_results(spark, out, result_schema)
-            fresh = unprocessed(fresh, done.where((F.col("run") != run) | (F.col("batch") < number)), id_col)
+        fresh = batch
+        if earlier:
+            kept = settled(batch, f"fresh-{number}")
+            parts = [r.part for r in kept.select(_part(id_col).alias("part")).distinct().collect()]
+            ids = spark.read.parquet(earlier).where(F.col("part").isin(parts)).select(id_col)
+            fresh = unprocessed(kept, ids.withColumn("status", F.lit("success")), id_col)
         append_results(label(fresh), out, number, run)
 
     arrivals = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
-    query = (
-        arrivals.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    with _rocksdb(spark):
+        query = (
+            arrivals.dropDuplicates([id_col]).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start()
+        )
     query.awaitTermination()
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession):
+    """Ids are kept on disk, so that their number is not bound by memory."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _part(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(id_col), F.lit(PARTS)).cast("int")
+
+
+def _earlier_ids(spark: SparkSession, out: str, schema: T.StructType, run: str, checkpoint: str, id_col: str) -> str | None:
+    """The folder of ids with results of other runs, landed when the stream first starts; None without any."""
+    kept = f"{checkpoint.rstrip('/')}/earlier-ids"
+    if not exists(spark, f"{kept}/_SUCCESS"):
+        done = read_results(spark, out, T.StructType([schema[id_col]])).where(F.col("run") != run)
+        ids = done.select(id_col).distinct().withColumn("part", _part(id_col))
+        ids.repartition("part").write.mode("overwrite").partitionBy("part").parquet(kept)
+    return kept if any(n.startswith("part=") for n in results.names(spark, kept)) else None
