@@ -116,3 +116,17 @@ def test_interval_for_many_rows(rows):
 
 def test_jump_needs_the_year_before(rows):
     assert trends.yoy_jump(rows("year int, n long", [(2018, 5), (2020, 9)])).first().jump is None
+
+
+@pytest.mark.parametrize("b", [1.5, -1.5, 0.7, -0.01, 3.0])
+def test_growth_agrees_with_halving(rows, b):
+    """Counts off the curve: the exponent is where the slope of the error changes sign."""
+    data = [(2010 + x, round(1000 * math.exp(b * x) * (1 + 0.1 * (x % 3 - 1)), 3)) for x in range(9)]
+    w = lambda c, k: sum(n * (y - 2010) ** k * math.exp(c * (y - 2010)) for y, n in data)
+    u = lambda c, k: sum((y - 2010) ** k * math.exp(2 * c * (y - 2010)) for y, _ in data)
+    low, high = b - 0.3, b + 0.3
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if w(mid, 1) * u(mid, 0) - w(mid, 0) * u(mid, 1) > 0 else (low, mid)
+    fit = trends.exp_growth_fit(rows("year int, n double", data)).first()
+    assert math.isclose(fit.b, mid, abs_tol=1e-9) and math.isclose(fit.a, w(mid, 0) / u(mid, 0), rel_tol=1e-9)

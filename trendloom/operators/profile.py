@@ -99,10 +99,11 @@ def fixed_crosstab(df: DataFrame) -> DataFrame:
 
 def share_of_total(df: DataFrame, column: str) -> DataFrame:
     """Value count / all rows * 100: rows without a value stay in the denominator."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    # The window runs over aggregated values, one row per value.
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return counts.withColumn("share", F.col("n") * 100 / total).where(F.col(column).isNotNull())
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.count(column).alias("present"))
+    # The total is a number of its own; counts stay where they are. It takes both counts, and rows
+    # without a value go by a count, so that it is made from the same shuffle.
+    total = counts.agg(F.sum(F.greatest("n", "present"))).scalar()
+    return counts.where("present > 0").select(column, "n", (F.col("n") * 100 / total).alias("share"))
 
 
 def conditional_share_by_year(df: DataFrame, condition: Column, *by: str) -> DataFrame:
@@ -218,8 +219,9 @@ def country_breakdown(df: DataFrame, country: str, k: int = 15) -> DataFrame:
     Years without a row of the country are left out of the slope, not counted as 0.
     """
     per_year = count_by_year(df.where(F.col(country).isNotNull()), country)
-    grand = per_year.agg(F.sum("n")).scalar()
     table = per_year.groupBy(country).agg(F.sum("n").alias("total"), F.regr_slope("n", "year").alias("slope"))
+    # One row per country; the best k are chosen after the window, from which the total comes.
+    grand = F.sum("total").over(Window.partitionBy(F.lit(0)))
     return table.withColumn("share", F.col("total") * 100 / grand).orderBy(F.desc("total"), country).limit(k)
 
 

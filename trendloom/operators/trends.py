@@ -61,17 +61,19 @@ def first_last_value(shares: DataFrame, category: str, value: str = "share") ->
 
 # --- exponential growth ----------------------------------------------------
 
-GRID, ROUNDS, SHRINK, WIDEN, MOST_ROUNDS = 100, 4, 50, 4, 16
+#: Points on each side of the first grid; how often it may widen, and by what; steps behind it.
+GRID, WIDENINGS, WIDEN, STEPS = 20, 6, 4, 60
 
 
 def exp_growth_fit(counts: DataFrame, *by: str, origin: int = FIRST_YEAR) -> DataFrame:
     """Least squares of n = a * exp(b * (year - origin)) on the raw counts, per group.
 
-    For a given b the best a has a closed form, so only b is searched: a grid over [-1, 1], wider
-    grids as long as the best point lies on the edge, then three finer grids around it (each 50
-    times narrower). The search runs on the group's own short array of years, inside one
-    projection, so the input must have one row per group and year; all years given count. Fewer
-    than three years: NULL.
+    For a given b the best a is W / B, with W = sum(n e^bx) and B = sum(e^2bx), and the squared
+    error is sum(n^2) - W^2 / B. Its slope in b vanishes with h = W' B - W C, C = sum(x e^2bx). A
+    coarse grid over [-1, 1], widened as long as its best point lies on the edge, gives a bracket;
+    Newton's steps on h, replaced by halving where they leave the bracket, close it. All that runs on the
+    group's own short array of years, inside one projection, so the input must have one row per
+    group and year; all years given count. Fewer than three years: NULL.
     """
     points = counts.where(F.col("year").isNotNull()).groupBy(*by).agg(
         F.collect_list(F.struct((F.col("year") - origin).cast("double").alias("x"), F.col("n").cast("double").alias("n"))).alias("points"),
@@ -80,30 +82,63 @@ def exp_growth_fit(counts: DataFrame, *by: str, origin: int = FIRST_YEAR) -> Dat
         F.count("n").alias("n_years"),
     )
 
-    def total(term) -> Column:
-        return F.aggregate("points", F.lit(0.0), lambda acc, p: acc + term(p))
-
-    def candidate(b: Column, half: Column, edge: Column) -> Column:
-        weighted = total(lambda p: p["n"] * F.exp(b * p["x"]))
-        basis = total(lambda p: F.exp(b * p["x"] * 2))
-        return F.struct(
-            (F.col("sum_sq") - weighted * weighted / basis).alias("sse"), b.alias("b"),
-            (weighted / basis).alias("a"), F.when(edge, half * WIDEN).otherwise(half / SHRINK).alias("half"),
+    def sums(b: Column, *terms) -> Column:
+        """An array of sums over the years, each of a term of (year, e^bx, e^2bx)."""
+        def add(acc: Column, p: Column) -> Column:
+            e, e2 = F.exp(b * p["x"]), F.exp(b * p["x"] * 2)
+            return F.array(*[F.get(acc, k) + t(p["x"], p["n"], e, e2) for k, t in enumerate(terms)])
+
+        return F.aggregate("points", F.array(*[F.lit(0.0)] * len(terms)), add)
+
+    def explained(b: Column) -> Column:
+        """W^2 / B, which is greatest where the error is least."""
+        return F.element_at(F.transform(
+            F.array(sums(b, lambda x, n, e, e2: n * e, lambda x, n, e, e2: e2)), lambda s: F.get(s, 0) * F.get(s, 0) / F.get(s, 1)
+        ), 1)
+
+    def wider(best: Column, _round: Column) -> Column:
+        grid = F.transform(
+            F.sequence(F.lit(-GRID), F.lit(GRID)),
+            lambda i: F.struct(
+                explained(best["half"] * i / GRID).alias("fit"), (best["half"] * i / GRID).alias("b"),
+                F.when(F.abs(i) == GRID, best["half"] * WIDEN).otherwise(best["half"]).alias("half"), (F.abs(i) == GRID).alias("edge"),
+            ),
+        )
+        return F.when(best["edge"], F.array_max(grid)).otherwise(best)
+
+    def step(now: Column, _round: Column) -> Column:
+        b = now["b"]
+        w, w1, w2, basis, c, c1 = range(6)
+        found = sums(
+            b, lambda x, n, e, e2: n * e, lambda x, n, e, e2: n * x * e, lambda x, n, e, e2: n * x * x * e,
+            lambda x, n, e, e2: e2, lambda x, n, e, e2: x * e2, lambda x, n, e, e2: x * x * e2 * 2,
         )
 
-    def refine(best: Column, _round: Column) -> Column:
-        steps = F.sequence(F.lit(-GRID), F.lit(GRID))
-        grid = F.transform(steps, lambda i: candidate(best["b"] + i * best["half"] / GRID, best["half"], F.abs(i) == GRID))
-        return F.when(best["half"] < 1.5 / SHRINK**ROUNDS, best).otherwise(F.array_min(grid))
-
-    start = F.struct(F.lit(0.0).alias("sse"), F.lit(0.0).alias("b"), F.lit(0.0).alias("a"), F.lit(1.0).alias("half"))
-    rounds = F.sequence(F.lit(1), F.lit(MOST_ROUNDS))
-    best = F.when(F.col("n_years") >= 3, F.aggregate(rounds, start, refine))
-    fits = points.select(*by, "n_years", "sst", best.alias("fit"))
+        def move(s: Column) -> Column:
+            v = lambda k: F.get(s, k)
+            h = v(w1) * v(basis) - v(w) * v(c)
+            slope = v(w2) * v(basis) + v(w1) * v(c) - v(w) * v(c1)
+            low, high = F.when(h > 0, b).otherwise(now["low"]), F.when(h > 0, now["high"]).otherwise(b)
+            newton = b - h / F.nullif(slope, F.lit(0.0))
+            # The lower end may be met exactly: Newton has arrived there.
+            inside = (newton >= low) & (newton <= high)
+            return F.struct(low.alias("low"), high.alias("high"), F.when(inside, newton).otherwise((low + high) / 2).alias("b"))
+
+        return F.element_at(F.transform(F.array(found), move), 1)
+
+    enough = F.col("n_years") >= 3
+    start = F.struct(F.lit(0.0).alias("fit"), F.lit(0.0).alias("b"), F.lit(1.0).alias("half"), F.lit(True).alias("edge"))
+    coarse = points.select("*", F.when(enough, F.aggregate(F.sequence(F.lit(1), F.lit(WIDENINGS)), start, wider)).alias("best"))
+    width = F.col("best.half") / GRID
+    bracket = F.struct((F.col("best.b") - width).alias("low"), (F.col("best.b") + width).alias("high"), F.col("best.b").alias("b"))
+    solved = F.when(enough, F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), bracket, step)["b"])
+    fits = coarse.select(*by, "n_years", "sum_sq", "sst", "points", solved.alias("b"))
+    last = sums(F.col("b"), lambda x, n, e, e2: n * e, lambda x, n, e, e2: e2)
+    fits = fits.select(*by, "n_years", "sum_sq", "sst", "b", F.when(F.col("b").isNotNull(), last).alias("s"))
+    w, basis = F.get("s", 0), F.get("s", 1)
     return fits.select(
-        *by, "n_years", F.col("fit.a").alias("a"), F.col("fit.b").alias("b"),
-        ((F.exp("fit.b") - 1) * 100).alias("growth_pct"),
-        (1 - F.col("fit.sse") / F.nullif("sst", F.lit(0.0))).alias("r2"),
+        *by, "n_years", (w / basis).alias("a"), "b", ((F.exp("b") - 1) * 100).alias("growth_pct"),
+        (1 - (F.col("sum_sq") - w * w / basis) / F.nullif("sst", F.lit(0.0))).alias("r2"),
     )
 
 

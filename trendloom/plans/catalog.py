@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from trendloom import schemas as S
 from trendloom.functions import answers, arrays, ids, labels, text
 from trendloom.operators import (
-    agreement, compare, corpus, keywords, profile, publications, reshape, sampling, scoring, trends,
+    agreement, bayes, compare, corpus, keywords, profile, publications, reshape, sampling, scoring, trends,
 )
 from trendloom.plans import lifecycle
 from trendloom.plans.stub import make_stub
@@ -178,8 +178,7 @@ def _(t):
 
 @query("restrict_to_universe")
 def _(t):
-    recent = t.universe.where(F.col("year") >= 2015)
-    return corpus.restrict_to_universe(t.claims, recent, "patent_id")
+    return corpus.restrict_to_universe(t.claims, t.universe, "patent_id")
 
 
 @query("first_seen_dedup")
@@ -197,7 +196,7 @@ def _(t):
 
 @query("text_flags")
 def _(t):
-    docs = t.documents.select("doc_id", F.col("text").alias("abstract"), F.substring("text", 1, 4).alias("title"))
+    docs = t.documents.select("doc_id", F.col("text").alias("abstract"), F.split_part("text", F.lit("."), F.lit(1)).alias("title"))
     return corpus.text_flags(docs).select("doc_id", "has_title", "has_abstract")
 
 
@@ -480,7 +479,7 @@ def _(t):
 
 @query("count_by_year_dense")
 def _(t):
-    return profile.count_by_year_dense(genuine(t).where(F.col("application_domain") == "agriculture"))
+    return profile.count_by_year_dense(genuine(t))
 
 
 @query("value_counts_topk")
@@ -842,8 +841,8 @@ def judged_texts(t: Tables) -> DataFrame:
 
 
 def fit_and_apply(docs: DataFrame) -> DataFrame:
-    model = scoring.train_labeller(docs.where(~F.col("held_out")), "text", "toxic")
-    return scoring.apply_labeller(model, docs).withColumnRenamed("is_genuine_ai", "found_toxic")
+    model = bayes.train_bayes(docs.where(~F.col("held_out")), "text", "toxic")
+    return bayes.apply_bayes(model, docs).withColumnRenamed("found", "found_toxic")
 
 
 @query("train_text_classifier")
@@ -854,13 +853,20 @@ def _(t):
 
 @query("classifier_holdout")
 def _(t):
-    """Rows scored, labelled, and held out of the fit. Accuracies depend on the data (see the README)."""
+    """Over the labelled documents held out of the fit: how many are called right, by the model and
+    by calling all of them what most labelled documents are."""
     docs = judged_texts(t)
     both = docs.drop("text").join(fit_and_apply(docs), "doc_id")
     judged = F.col("held_out") & F.col("toxic").isNotNull()
-    return both.agg(
-        F.count("found_toxic").alias("n_scored"), F.count("toxic").alias("n_labelled"), F.count_if(judged).alias("n_held_out")
+    right, mostly = F.col("found_toxic") == F.col("toxic"), F.count_if("toxic") * 2 > F.count("toxic")
+    n = F.count_if(judged)
+    found = both.agg(
+        F.count("found_toxic").alias("n_scored"), F.count("toxic").alias("n_labelled"), n.alias("n_held_out"),
+        (F.count_if(judged & right) / n).alias("accuracy"),
+        (F.when(mostly, F.count_if(judged & F.col("toxic"))).otherwise(F.count_if(judged & ~F.col("toxic"))) / n).alias("majority_share"),
+        (F.count_if(judged & right & F.col("toxic")) / F.nullif(F.count_if(judged & F.col("toxic")), F.lit(0))).alias("recall"),
     )
+    return found
 
 
 @query("resume_checkpoint")

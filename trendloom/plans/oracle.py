@@ -101,7 +101,7 @@ SELECT kind, count(*) AS n FROM (SELECT {KIND} AS kind FROM <<universe>>) GROUP
 UNION ALL SELECT 'total', count(*) FROM <<universe>>"""
 SQL["restrict_to_universe"] = f"""
 SELECT * FROM <<claims>> WHERE {key('patent_id')} IN
- (SELECT {key('doc_id')} FROM <<universe>> WHERE year >= 2015 AND {KIND} <> 'unknown')"""
+ (SELECT {key('doc_id')} FROM <<universe>> WHERE {KIND} <> 'unknown')"""
 SQL["first_seen_dedup"] = """
 SELECT * FROM <<claims>> QUALIFY row_number() OVER (PARTITION BY patent_id ORDER BY year, seq, text, claim_type) = 1"""
 SQL["source_tag"] = f"""
@@ -109,7 +109,7 @@ SELECT doc_id, CASE WHEN {KIND} IN ('granted', 'reissue') THEN 'granted' ELSE 'p
 
 # --- projections and predicates --------------------------------------------
 SQL["text_flags"] = f"""
-SELECT doc_id, length({strip("substr(coalesce(text, ''), 1, 4)")}) > 2 AS has_title,
+SELECT doc_id, length({strip("split_part(coalesce(text, ''), '.', 1)")}) > 2 AS has_title,
        length({strip("coalesce(text, '')")}) > 10 AS has_abstract FROM documents"""
 _HAS_ABSTRACT, _HAS_CLAIM = (f"{blank_to_null(c)} IS NOT NULL" for c in ("abstract", "claim1_text"))
 SQL["presence_flags"] = f"""
@@ -245,7 +245,7 @@ _BY_YEAR = f"(SELECT year, count(*) AS n FROM {GENUINE} GROUP BY year)"
 SQL["count_by_year"] = f"SELECT year, n FROM {_BY_YEAR}"
 SQL["count_by_year_dense"] = f"""
 SELECT year, count(doc_id) AS n FROM {YEAR_AXIS} LEFT JOIN
- (SELECT doc_id, year FROM {GENUINE} WHERE application_domain = 'agriculture') USING (year) GROUP BY year"""
+ (SELECT doc_id, year FROM {GENUINE}) USING (year) GROUP BY year"""
 SQL["value_counts_topk"] = f"""
 SELECT application_domain, count(*) AS n FROM {GENUINE} WHERE application_domain IS NOT NULL
 GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10"""
@@ -317,18 +317,26 @@ SELECT innovation_orientation, min(year) AS first_year, round(arg_min(share, yea
 
 
 def _growth_rounds() -> str:
-    parts = [
-        f"p AS (SELECT tech_grouped, CAST(year - 2010 AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS n FROM {GROUPED} GROUP BY 1, 2)",
-        "g AS (SELECT tech_grouped, sum(n * n) AS sum_sq, var_pop(n) * count(*) AS sst, count(*) AS n_years FROM p GROUP BY 1)",
-        "b0 AS (SELECT tech_grouped, CAST(0 AS DOUBLE) AS b, CAST(1 AS DOUBLE) AS half FROM g)",
-    ]
-    for i in range(1, 5):
-        parts.append(f"""s{i} AS (SELECT tech_grouped, b, half / 50 AS half, any_value(sum_sq) - sum(n * exp(b * x)) ** 2 / sum(exp(b * x * 2)) AS sse,
- sum(n * exp(b * x)) / sum(exp(b * x * 2)) AS a
- FROM (SELECT tech_grouped, half, b + step * half / 100 AS b FROM b{i - 1}, (SELECT range AS step FROM range(-100, 101)))
- JOIN p USING (tech_grouped) JOIN g USING (tech_grouped) GROUP BY tech_grouped, b, half)""")
-        parts.append(f"b{i} AS (SELECT tech_grouped, arg_min(b, sse) AS b, arg_min(a, sse) AS a, min(sse) AS sse, any_value(half) AS half FROM s{i} GROUP BY 1)")
-    return "WITH " + ",\n".join(parts)
+    """The exponent where the slope of the squared error changes sign, by halving a bracket."""
+    return f"""WITH RECURSIVE p AS (
+ SELECT tech_grouped, CAST(year - 2010 AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS n FROM {GROUPED} GROUP BY 1, 2),
+g AS (SELECT tech_grouped, sum(n * n) AS sum_sq, var_pop(n) * count(*) AS sst, count(*) AS n_years FROM p GROUP BY 1),
+tried AS (
+ SELECT tech_grouped, b, sum(n * exp(b * x)) ** 2 / sum(exp(b * x * 2)) AS fit
+ FROM p, (SELECT CAST(range AS DOUBLE) / 100 AS b FROM range(-100, 101)) GROUP BY tech_grouped, b),
+halved AS (
+ SELECT tech_grouped, arg_max(b, fit) - 0.01 AS low, arg_max(b, fit) + 0.01 AS high, 0 AS step FROM tried GROUP BY 1
+ UNION ALL
+ SELECT tech_grouped, CASE WHEN h > 0 THEN mid ELSE low END, CASE WHEN h > 0 THEN high ELSE mid END, step + 1
+ FROM (SELECT tech_grouped, low, high, step, (low + high) / 2 AS mid,
+   sum(n * x * exp((low + high) / 2 * x)) * sum(exp((low + high) * x))
+    - sum(n * exp((low + high) / 2 * x)) * sum(x * exp((low + high) * x)) AS h
+  FROM halved JOIN p USING (tech_grouped) WHERE step < 45 GROUP BY ALL)),
+found AS (SELECT tech_grouped, (low + high) / 2 AS b FROM halved WHERE step = 45),
+b4 AS (
+ SELECT tech_grouped, b, sum(n * exp(b * x)) / sum(exp(b * x * 2)) AS a,
+  any_value(sum_sq) - sum(n * exp(b * x)) ** 2 / sum(exp(b * x * 2)) AS sse
+ FROM found JOIN p USING (tech_grouped) JOIN g USING (tech_grouped) GROUP BY tech_grouped, b)"""
 
 
 SQL["exp_growth_fit"] = f"""{_growth_rounds()}
@@ -588,10 +596,34 @@ _FIRST = """CASE WHEN (strpos('0123456789abcdef', substr(md5(prompt), 4, 1)) - 1
  WHEN (strpos('0123456789abcdef', substr(md5(prompt), 3, 1)) - 1) % 4 = 3 THEN 'parse_error' ELSE 'success' END AS first_status"""
 SQL["resumed_run"] = _stub(_TEXTS, "doc_id, n_results")
 SQL["retry_failed"] = _stub(_TEXTS, f"doc_id, {_FIRST}")
-SQL["classifier_holdout"] = """
-SELECT count(*) AS n_scored, count(l.doc_id) AS n_labelled,
-       count(l.doc_id) FILTER (substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 1) IN ('0', '1', '2')) AS n_held_out
-FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic IS NOT NULL) l ON d.doc_id = l.doc_id"""
+_BAYES = r"""judged AS (
+ SELECT d.doc_id, text, l.toxic, substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 1) IN ('0', '1', '2') AS held_out
+ FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id),
+tokens AS (
+ SELECT doc_id, toxic, held_out, unnest(regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\p{L}\p{N}]+')) AS word FROM judged),
+fitted AS (SELECT * FROM judged WHERE NOT held_out AND toxic IS NOT NULL AND text IS NOT NULL),
+seen AS (
+ SELECT word, count(*) FILTER (toxic) AS yes, count(*) FILTER (NOT toxic) AS no FROM tokens
+ WHERE doc_id IN (SELECT doc_id FROM fitted) GROUP BY word HAVING count(DISTINCT doc_id) >= 3),
+sums AS (SELECT sum(yes) + count(*) AS yes, sum(no) + count(*) AS no FROM seen),
+weights AS (SELECT word, ln((s.yes + 1) / t.yes) - ln((s.no + 1) / t.no) AS weight FROM seen s, sums t),
+odds AS (
+ SELECT judged.doc_id, toxic, held_out, coalesce(w.total, 0) +
+  (SELECT ln(count(*) FILTER (toxic) + 1) - ln(count(*) FILTER (NOT toxic) + 1) FROM fitted) AS log_odds
+ FROM judged LEFT JOIN (SELECT doc_id, sum(weight) AS total FROM tokens JOIN weights USING (word) GROUP BY doc_id) w USING (doc_id))"""
+SQL["train_text_classifier"] = f"""
+WITH {_BAYES}
+SELECT doc_id, round(log_odds, 6) AS log_odds, log_odds > 0 AS found_toxic,
+       CASE WHEN abs(log_odds) >= 4 THEN 'high' WHEN abs(log_odds) >= 1 THEN 'medium' ELSE 'low' END AS confidence FROM odds"""
+SQL["classifier_holdout"] = f"""
+WITH {_BAYES}
+SELECT count(*) AS n_scored, count(toxic) AS n_labelled, count(*) FILTER (held_out AND toxic IS NOT NULL) AS n_held_out,
+       round(count(*) FILTER (held_out AND toxic = (log_odds > 0)) / count(*) FILTER (held_out AND toxic IS NOT NULL), 6) AS accuracy,
+       round(CASE WHEN count(*) FILTER (toxic) * 2 > count(toxic) THEN count(*) FILTER (held_out AND toxic)
+        ELSE count(*) FILTER (held_out AND NOT toxic) END / count(*) FILTER (held_out AND toxic IS NOT NULL), 6) AS majority_share,
+       round(count(*) FILTER (held_out AND toxic AND log_odds > 0) / nullif(count(*) FILTER (held_out AND toxic), 0), 6) AS recall
+FROM odds"""
 SQL["incremental_stream"] = _stub(f"(SELECT doc_id, {_DOC_PROMPT} AS prompt FROM <<event_docs>>)", "doc_id")
 
 # --- sets, order, comparison -----------------------------------------------

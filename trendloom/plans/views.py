@@ -21,10 +21,10 @@ BASE_TABLES = (
     "benchmark labels conversations"
 ).split()
 
-# What the made-up columns choose from.
+# What the made-up columns choose from. Countries are in alphabetical order.
 COUNTRIES = [
-    "JP", "CN", "DE", "KR", "FR", "GB", "NL", "IN", "SE", "US", "CH", "FI", "IT", "ES", "DK",
-    "AU", "BE", "TW", "IE", "AT", "CA", "IL", "NO", "PL", "CZ",
+    "AT", "AU", "BE", "CA", "CH", "CN", "CZ", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IL",
+    "IN", "IT", "JP", "KR", "NL", "NO", "PL", "SE", "TW", "US",
 ]
 PRIORITY_COUNTRIES = ["US", "DE", "JP", "CN", "FR", "KR"]
 CODES = [
@@ -96,7 +96,7 @@ SELECT {doc_id('doc_id')} AS doc_id, {bulk_id('doc_id')} AS bulk_id, text, lang
 
 GRANTED_TITLES = """
 SELECT CASE WHEN lang = 'en' THEN bulk_id ELSE doc_id END AS patent_id,
-       CASE WHEN lang <> 'es' THEN substr(text, 1, 60) END AS patent_title
+       CASE WHEN lang <> 'es' THEN split_part(text, '.', 1) END AS patent_title
 FROM <<texts>> WHERE length(doc_id) < 11 AND doc_id NOT LIKE 'X%'"""
 
 GRANTED_ABSTRACTS = """
@@ -213,7 +213,7 @@ SELECT 'EP' || CAST(o_orderkey AS STRING) AS ep_id, {year('o_orderdate')} AS yea
 FROM <<orders>> JOIN <<customer>> ON o_custkey = c_custkey"""
 
 MODEL_INPUT = """
-SELECT u.doc_id, u.year, substr(t.text, 1, 60) AS title, t.text AS abstract, c.claim AS claim1_text
+SELECT u.doc_id, u.year, split_part(t.text, '.', 1) AS title, t.text AS abstract, c.claim AS claim1_text
 FROM <<universe>> u LEFT JOIN <<texts>> t ON u.doc_id = t.doc_id
 LEFT JOIN (SELECT patent_id, min(text) AS claim FROM <<claims>> GROUP BY patent_id) c ON u.doc_id = c.patent_id"""
 
@@ -354,6 +354,6 @@ def with_views(query: str) -> str:
     visit(query)
     ctes = [f"v_{name} AS ({sql[name]})" for name in sql if name in needed]
     text = ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + query.strip()
-    if ctes and query.strip().upper().startswith("WITH "):
-        text = "WITH " + ",\n".join(ctes) + ",\n" + query.strip()[5:]
+    if ctes and (own := re.match(r"\s*(WITH(?: RECURSIVE)?)\s", query)):
+        text = f"{own[1]} " + ",\n".join(ctes) + ",\n" + query[own.end() :].strip()
     return MARK.sub(lambda m: f"v_{m[1]}" if m[1] in sql else m[1], text)
