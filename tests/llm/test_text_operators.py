@@ -407,6 +407,42 @@ def test_empty_tables(spark, nothing):
         assert found.count() == 0
 
 
+# All items against all documents
+
+
+def test_leaks_equal_all_pairs(spark):
+    """By the full table of distances; short items as whole words only. Clashing columns, a very long text."""
+    import random
+
+    rng = random.Random(9)
+    words = ["cat", "con", "the", "river", "bank", "a", "über", "3rd"]
+    phrase = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(k, phrase(rng.randint(1, 7))) for k in range(25)] + [(90, "cat"), (91, "a"), (92, None), (93, " -- "), (94, "cat")]
+    docs = [(k, phrase(rng.randint(1, 25))) for k in range(60)]
+    docs += [(100, "concatenate banks"), (101, "The CAT!"), (102, "a-3rd"), (103, None), (104, ""), (105, "zz " * 30_000 + "cat"), (101, "The CAT!")]
+    for k in range(20):  # with an edit or two
+        t = list(phrase(4) + " " + (items[k][1] or "") + " " + phrase(3))
+        t[rng.randrange(len(t))] = "x"
+        docs.append((200 + k, "".join(t)))
+    expected = collections.Counter()
+    for d, text in docs:
+        own = decontaminate.normal(text or "")
+        for i, item in items:
+            pattern = decontaminate.normal(item or "")
+            k = len(pattern) // decontaminate.SHARE
+            hit = f" {pattern} " in f" {own} " if not k else len(own) < 1000 and distance_in(pattern, own) <= k
+            if pattern and own and hit:
+                expected[d, i] += 1
+    frame = spark.createDataFrame([(d, t, 0, 0) for d, t in docs], "doc_id long, text string, item_id int, distance int").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (40, 1_000_000):
+        found = decontaminate.find_leaks(frame, bench, block=block).collect()
+        assert collections.Counter((r.doc_id, r.item_id) for r in found) == expected
+        left = decontaminate.drop_contaminated(frame, bench, block=block)
+        assert left.columns == frame.columns
+        assert sorted(r.doc_id for r in left.collect()) == sorted(d for d, _ in docs if not any(p[0] == d for p in expected))
+
+
 # What a worker holds
 
 

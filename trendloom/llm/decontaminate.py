@@ -2,11 +2,13 @@
 
 Texts and test items are reduced to lower-case words joined by single blanks. An item of m
 characters may be met with up to k = m // SHARE edits; cut into k + 1 pieces, at least one piece
-must then occur unchanged. All pieces are found in one pass over the text by an Aho-Corasick
+must then occur unchanged. Items too short for an edit must stand between word borders, so that "cat" is not
+found in "concatenate". All pieces are found in one pass over the text by an Aho-Corasick
 automaton, and every place where a piece hits is verified with Myers' bit-parallel distance.
 
 Documents are only scanned, never shuffled. Items are held in the automaton in blocks of bounded
-size, one pass per block, so a large benchmark costs more passes, not more memory.
+size, one pass per block, so a large benchmark costs more passes, not more memory. Where documents
+are dropped, what a pass leaves is written before the next.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.llm.common import settle
+
 #: One edit is allowed for so many characters of an item.
 SHARE = 14
 #: Characters of the items held at once.
@@ -94,6 +98,11 @@ class Leaks:
         for item, places in starts.items():
             item_id, pattern, k = self.items[item]
             best = None
+            if not k:
+                whole = (p for p in sorted(places) if (p == 0 or text[p - 1] == " ") and text[p + len(pattern) : p + len(pattern) + 1] in ("", " "))
+                if (at := next(whole, None)) is not None:
+                    found.append((item_id, 0, at, at + len(pattern)))
+                continue
             # Places within reach of each other are verified together.
             for low, high in _runs(sorted(places), 2 * k + 1):
                 a, b = max(0, low - k), high + len(pattern) + k
@@ -134,6 +143,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: int = SHARE, block: int
     ``start`` and ``end`` are places in the reduced text (``start`` as if no character were
     inserted or missing); of several matches the closest counts, then the first. Missing and
     empty texts and items meet nothing; equal items and repeated documents each give their rows.
+    Items of fewer than ``share`` characters are met only unchanged and as whole words. Very long
+    texts are searched whole.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -168,4 +179,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, share: int = SHARE, blo
 
         return rows.mapInArrow(work, rows.schema)
 
-    return reduce(lambda rows, b: one_block(rows, docs.sparkSession.sparkContext.broadcast(b)), blocks(items, block), docs)
+    left, passes = docs, 0
+    for held in blocks(items, block):
+        # Written between passes, so that a task never holds more than one automaton.
+        left = one_block(settle(left, f"clean-{passes}") if passes else left, docs.sparkSession.sparkContext.broadcast(held))
+        passes += 1
+    return left
