@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from trendloom import schemas as S
 from trendloom.functions import answers, arrays, ids, labels, text
 from trendloom.operators import (
-    agreement, bayes, compare, corpus, keywords, profile, publications, reshape, sampling, scoring, trends,
+    agreement, bayes, compare, corpus, keywords, profile, publications, reshape, results, sampling, scoring, trends,
 )
 from trendloom.plans import lifecycle
 from trendloom.plans.stub import make_stub
@@ -95,6 +95,14 @@ def _(t):
     return delimited.read_bulk_tsv(t.spark, path, schema).drop("file_path")
 
 
+@query("scan_bulk_tsv_quoted")
+def _(t):
+    """Whole texts, with their line breaks, tabs and quotes, in quoted fields."""
+    path = scratch_dir(t.spark, "tsv")
+    t.texts.select("doc_id", "lang", "text").write.options(**CSV, sep="\t").csv(path)
+    return delimited.read_bulk_tsv(t.spark, path, S.struct(doc_id=S.STRING, lang=S.STRING, text=S.STRING)).drop("file_path")
+
+
 @query("land_zip_archives")
 def _(t):
     root, out = scratch_dir(t.spark, "zip"), scratch_dir(t.spark, "landed")
@@ -880,6 +888,17 @@ def _(t):
     return scoring.latest_results(scoring.read_results(t.spark, out, RESULTS)).drop("run")
 
 
+@query("compacted_results")
+def _(t):
+    """Four batches, one of them written twice, merged into one folder: every document keeps one result."""
+    out, docs = scratch_dir(t.spark, "results"), t.texts.select("doc_id", "text")
+    digit = F.conv(F.substring(F.md5("doc_id"), 1, 1), 16, 10).cast("int")
+    for number in (0, 1, 2, 3, 1):
+        scoring.append_results(label_texts(docs.where(F.floor(digit / 4) == number)), out, number)
+    results.compact(t.spark, out, RESULTS)
+    return scoring.read_results(t.spark, out, RESULTS).drop("run")
+
+
 def text_prompts(t: Tables) -> DataFrame:
     return t.texts.select("doc_id", text.prompt_short(SYSTEM, F.lit(""), F.col("text")).alias("prompt"))
 

@@ -57,6 +57,7 @@ SELECT ep_id, year, is_genuine_ai = 'True' AS is_genuine_ai, ai_technique, confi
 SQL["scan_bulk_tsv"] = """
 SELECT patent_id, seq, CASE WHEN substr(md5(patent_id || text), 1, 1) <> '0' THEN text END AS text
 FROM <<claims>> WHERE substr(md5(patent_id || text), 1, 1) <> '1'"""
+SQL["scan_bulk_tsv_quoted"] = "SELECT doc_id, lang, nullif(text, '') AS text FROM <<texts>>"
 SQL["land_zip_archives"] = "SELECT patent_id, seq, text FROM <<claims>>"
 SQL["scan_yearly_files"] = "SELECT patent_id, claim_type, year, seq, text FROM <<claims>>"
 SQL["resolve_columns"] = "SELECT patent_id, seq, text FROM <<claims>>"
@@ -591,6 +592,11 @@ SQL["resume_checkpoint"] = _stub(
     f"(SELECT doc_id, {_DOC_PROMPT} AS prompt, CAST(CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS INT) AS batch FROM <<texts>>)",
     "doc_id, batch",
 )
+SQL["compacted_results"] = _stub(
+    f"""(SELECT doc_id, {_DOC_PROMPT} AS prompt,
+ CAST((strpos('0123456789abcdef', substr(md5(doc_id), 1, 1)) - 1) // 4 AS INT) AS batch FROM <<texts>>)""",
+    "doc_id, batch",
+)
 _TEXTS = f"(SELECT doc_id, {_DOC_PROMPT} AS prompt, CAST(1 AS BIGINT) AS n_results FROM <<texts>>)"
 _FIRST = """CASE WHEN (strpos('0123456789abcdef', substr(md5(prompt), 4, 1)) - 1) % 2 = 0 THEN 'error'
  WHEN (strpos('0123456789abcdef', substr(md5(prompt), 3, 1)) - 1) % 4 = 3 THEN 'parse_error' ELSE 'success' END AS first_status"""
