@@ -156,3 +156,20 @@ def test_tasks_do_not_import_the_package():
     code = f"from pyspark import cloudpickle; print(cloudpickle.loads(bytes.fromhex('{blob}'))()(['a'])[0])"
     out = subprocess.run([sys.executable, "-c", code], cwd="/", capture_output=True, text=True, check=True)
     assert out.stdout.strip() == make_stub()(["a"])[0].strip()
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 40])
+def test_tasks_cost_the_same(spark, partitions):
+    """Prompt lengths over four orders of magnitude, the long ones side by side."""
+    lengths = [int(10 ** (4 * (k / 3000) ** 3)) for k in range(3000)] + [None]
+    rows = [(k, None if n is None else "x" * n) for k, n in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "k long, prompt string").repartition(partitions, F.expr("k div 100"))
+    dealt = scoring.dealt_by_cost(df, F.length("prompt"), 8)
+    found = dealt.groupBy(F.spark_partition_id().alias("task")).agg(F.sum(F.length("prompt")).alias("cost"), F.count("k").alias("n")).collect()
+    costs, sizes = sorted(r.cost for r in found), [r.n for r in found]
+    assert len(found) == 8 and costs[-1] <= 1.3 * costs[4] and max(sizes) - min(sizes) <= 2 * partitions
+    assert sorted(r.k for r in dealt.select("k").collect()) == list(range(3001))
+    # Rows met in another order are dealt alike.
+    where = {r.k: r.task for r in dealt.select("k", F.spark_partition_id().alias("task")).collect()}
+    turned = scoring.dealt_by_cost(df.sortWithinPartitions(F.desc("k")), F.length("prompt"), 8)
+    assert {r.k: r.task for r in turned.select("k", F.spark_partition_id().alias("task")).collect()} == where

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,21 @@ BATCH_ROWS = 256
 Scorer = Callable[[Sequence[str]], Sequence[str]]
 
 
+def dealt_by_cost(df: DataFrame, cost: Column, tasks: int) -> DataFrame:
+    """The rows over ``tasks`` tasks of nearly equal total cost, and of equal numbers of rows.
+
+    Every input partition sorts its rows by cost and deals them out there and back, so that each
+    task gets its share of dear and cheap rows from each. The order depends on the rows alone, so a
+    task that is run again deals them alike.
+    """
+    rows = df.withColumn("_cost", F.coalesce(cost, F.lit(0))).sortWithinPartitions(F.desc("_cost"), F.xxhash64(*df.columns))
+    rows = rows.withColumn("_at", F.monotonically_increasing_id())
+    # Partitions start at different tasks; the number's upper bits are the partition.
+    turn = F.pmod(F.col("_at").bitwiseAND((1 << 33) - 1) + F.shiftright("_at", 33), F.lit(2 * tasks))
+    target = F.when(turn < tasks, turn).otherwise(2 * tasks - 1 - turn)
+    return rows.repartitionById(tasks, target.cast("int")).select(*df.columns)
+
+
 def score_batches(
     df: DataFrame, make_scorer: Callable[[], Scorer], prompt: str = "prompt", answer: str = "answer",
     batch_rows: int = BATCH_ROWS, tasks: int | None = None, error: str | None = None,
@@ -27,7 +42,8 @@ def score_batches(
 
     ``make_scorer`` runs once per task, where it may load a model. The other columns travel with
     the prompt, so answers and rows cannot get out of step. A model is far dearer than a shuffle,
-    so the rows are evened out first: over ``tasks`` tasks, or as Spark balances them.
+    so the rows are evened out first: over ``tasks`` tasks of equal prompt length in all, or by bytes
+    as Spark balances them.
 
     A scorer that raises ends the job, unless a column ``error`` is named: then the prompts of the
     failing batch are tried one by one, and those that fail again get no answer but the message.
@@ -57,7 +73,7 @@ def score_batches(
                     raise ValueError(f"scorer gave {len(answers)} answers for {len(batch)} prompts")
                 yield batch.drop(columns=prompt).assign(**{answer: answers}, **({error: messages} if error else {}))
 
-    spread = df.repartition(tasks) if tasks else df.hint("rebalance")
+    spread = dealt_by_cost(df, F.length(prompt), tasks) if tasks else df.hint("rebalance")
     return spread.mapInPandas(run, schema)
 
 
