@@ -25,7 +25,7 @@ MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 CUT = re.compile(f"[^{MARK}]{MARK}")
 #: Characters encoded together, chunks a worker remembers.
-GROUP, REMEMBER = 500_000, 150_000
+GROUP, REMEMBER = 1_000_000, 200_000
 NONE = np.iinfo(np.int64).max
 #: An odd multiplier that spreads keys over a table's places.
 SPREAD = 0x9E3779B97F4A7C15
