@@ -86,11 +86,11 @@ def test_token_counts_equal_the_library(documents, texts):
 # Near copies and repeated strings
 
 
-def groups(texts, percent=80):
+def groups(texts, percent=80, size=5):
     sets = []
     for t in texts:
         w = (t or "").encode().lower().split()
-        sets.append(frozenset(tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))) if w else frozenset())
+        sets.append(frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset())
     top = list(range(len(texts)))
     for i, a in enumerate(sets):
         for j in range(i):
@@ -100,12 +100,12 @@ def groups(texts, percent=80):
     return sets, top
 
 
-@pytest.mark.parametrize("members", [1_000, 7])
-def test_near_copies_equal_all_pairs(monkeypatch, documents, texts, members):
+@pytest.mark.parametrize(("members", "size"), [(1_000, 4), (7, 5)])
+def test_near_copies_equal_all_pairs(monkeypatch, documents, texts, members, size):
     monkeypatch.setattr(near_dedup, "MEMBERS", members)
-    sets, top = groups(texts)
-    got = by_id(near_dedup.find_groups(documents))
-    assert len(set(top)) < len(texts) - 30
+    sets, top = groups(texts, size=size)
+    got = by_id(near_dedup.find_groups(documents, size=size))
+    assert len(set(top)) < len(texts) - 25
     for k in range(len(texts)):
         assert (got[k].n_shingles, got[k].component_id, got[k].kept) == (len(sets[k]), top[k], top[k] == k)
 

@@ -31,29 +31,31 @@ from pyspark.sql import functions as F
 from trendloom.llm.common import Codes, settle
 from trendloom.llm.components import components
 
-SHINGLE, TREES, DEPTH = 4, 8, 8
+#: Words of a shingle, unless a caller says otherwise, and the most there can be.
+SHINGLE, LONGEST = 5, 16
+TREES, DEPTH = 8, 8
 NEAR, AGREE = 8, 0.55
 IDENTITY = ["doc_id", "h1", "h2"]
 #: Members and hashes of a block; hashes handled at once when signatures are made.
 MEMBERS, HASHES, STEP = 1_000, 2_000_000, 8_192
 
 _RANDOM = np.random.default_rng(20_11)
-_MIX = _RANDOM.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.random.default_rng(20_12).integers(1, 2**63, LONGEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _RANDOM.integers(0, 2**64, TREES * DEPTH, dtype=np.uint64)
 _ODD = _RANDOM.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _codes = Codes()
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the shingles; bytes are lower-cased and cut as ASCII."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(words) < SHINGLE:
+    if len(words) < size:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
     codes = np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
-    n = len(words) - SHINGLE + 1
-    found = sum(codes[k : k + n] * _MIX[k] for k in range(SHINGLE))
+    n = len(words) - size + 1
+    found = sum(codes[k : k + n] * _MIX[k] for k in range(size))
     found ^= found >> np.uint64(31)
     return np.unique(found * np.uint64(0xD6E8FEB86659FD93))
 
@@ -77,14 +79,14 @@ def identity() -> list[Column]:
     return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Columns ``doc_id, h1, h2, n_shingles, node, signature``; the last two are null for empty sets."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, nodes, signs = [], [], []
             for text in batch.column(3).to_pylist():
-                own = shingles(text)
+                own = shingles(text, size)
                 sizes.append(len(own))
                 nodes.append(node_of(own) if len(own) else None)
                 signs.append(signature(own) if len(own) else None)
@@ -155,17 +157,21 @@ def families(nodes: DataFrame) -> DataFrame:
     return components(settle(ties, "near-ties"), "near-families").select("node", F.col("root").alias("family"))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(size: int):
     """The sets of the members, for texts that are the node's own."""
-    for batch in batches:
-        hashes = [shingles(t) for t in batch.column(1).to_pylist()]
-        nodes = batch.column(0).to_pylist()
-        right = [len(h) > 0 and node_of(h) == n for h, n in zip(hashes, nodes, strict=True)]
-        _codes.trim()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), batch.column(3), pa.array([h.tobytes() for h in hashes], pa.binary())],
-            ["node", "family", "blocks", "hashes"],
-        ).filter(pa.array(right, pa.bool_()))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [shingles(t, size) for t in batch.column(1).to_pylist()]
+            nodes = batch.column(0).to_pylist()
+            right = [len(h) > 0 and node_of(h) == n for h, n in zip(hashes, nodes, strict=True)]
+            _codes.trim()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), batch.column(3), pa.array([h.tobytes() for h in hashes], pa.binary())],
+                ["node", "family", "blocks", "hashes"],
+            ).filter(pa.array(right, pa.bool_()))
+
+    return work
 
 
 def spanning_links(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -230,7 +236,7 @@ def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
 
 
-def verified_links(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def verified_links(docs: DataFrame, members: DataFrame, percent: int, size: int = SHINGLE) -> DataFrame:
     """Exact links inside families. ``members``: ``node, family, doc_id, n_shingles``."""
     totals = members.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("n"))
     blocks = F.ceil(F.greatest(F.col("m") / MEMBERS, F.col("n") / HASHES)).cast("int")
@@ -238,7 +244,7 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int) -> DataFra
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Both sides are shuffled at every size: members grow with the corpus, so a broadcast would not last.
     with_text = placed.join(texts.hint("merge"), "doc_id").select("node", "text", "family", "blocks")
-    sets = with_text.mapInArrow(_sets, "node long, family long, blocks int, hashes binary")
+    sets = with_text.mapInArrow(_sets(size), "node long, family long, blocks int, hashes binary")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # A member of block b meets every block once, its own included.
     pairs = sets.withColumn("b", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -247,12 +253,12 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int) -> DataFra
     return dealt.mapInArrow(_verify(percent), "u long, v long")
 
 
-def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+def _grouped(docs: DataFrame, percent: int, size: int) -> DataFrame:
     """Columns ``doc_id, h1, h2, n_shingles, first``, one row per row of ``docs``.
 
     ``first`` is the smallest identity reachable; it is null for rows without ``doc_id`` or words.
     """
-    signed = settle(signatures(docs), "near-signatures")
+    signed = settle(signatures(docs, size), "near-signatures")
     linkable = signed.where("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = linkable.groupBy("node").agg(
         F.min(F.struct(*IDENTITY)).alias("own"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
@@ -261,7 +267,7 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
         "node", "family", F.col("own.doc_id").alias("doc_id"), "n_shingles", "own"
     )
     members = settle(members, "near-members")
-    links = settle(verified_links(docs, members.drop("own"), percent), "near-links")
+    links = settle(verified_links(docs, members.drop("own"), percent, size), "near-links")
     roots = components(links, "near-components")
     grouped = roots.join(members, "node").select("node", "root", "own")
     least = grouped.groupBy("root").agg(F.min("own").alias("least"))
@@ -272,21 +278,21 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     return out.select(*IDENTITY, "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("found")).alias("first"))
 
 
-def find_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
+def find_groups(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> DataFrame:
     """Columns ``doc_id, n_shingles, component_id, kept``, one row per row of ``docs``.
 
-    Texts are linked if ``100 * intersection >= percent * union`` of their shingle sets;
+    Texts are linked if ``100 * intersection >= percent * union`` of their sets of shingles of ``size`` words;
     ``component_id`` is the smallest ``doc_id`` reachable. A text without words (or missing) is
     linked with nothing. A row without ``doc_id`` takes no part: its ``component_id`` is null and it
     is kept. Rows with equal ``doc_id`` and different texts are told apart by their texts.
     """
     alone = F.coalesce(F.col("first.doc_id"), F.col("doc_id"))
-    return _grouped(docs, percent).select(
+    return _grouped(docs, percent, size).select(
         "doc_id", "n_shingles", alone.alias("component_id"), F.coalesce(F.col("doc_id") == alone, F.lit(True)).alias("kept")
     )
 
 
-def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, percent: int = 80, size: int = SHINGLE) -> DataFrame:
     """One row of every group, the one with the smallest id, with the columns it came with.
 
     Rows are told apart by id and text, so a text without a copy stays even if its id also has
@@ -294,7 +300,7 @@ def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     rows without ``doc_id`` all stay.
     """
     own = F.struct(*IDENTITY)
-    found = _grouped(docs, percent).where("doc_id IS NOT NULL").select(*IDENTITY, (F.coalesce("first", own) != own).alias("gone"))
+    found = _grouped(docs, percent, size).where("doc_id IS NOT NULL").select(*IDENTITY, (F.coalesce("first", own) != own).alias("gone"))
     counted = found.groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("n"), F.max("gone").alias("gone"))
     marks = settle(counted.where("gone OR n > 1"), "near-marks")
     # Its size is known before the join, so that few repeated rows cost no shuffle of the texts.

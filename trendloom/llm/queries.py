@@ -65,7 +65,7 @@ def op7_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.find_groups(table(spark, sf_dir, "documents"))
+    return near_dedup.find_groups(table(spark, sf_dir, "documents"), size=4)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
