@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from trendloom.operators import reshape
 from trendloom.operators.reshape import hot_keys, keep_first, lookup_join, membership_join, top_n
 
 
@@ -43,6 +44,31 @@ def test_top_n(spark, skewed, parts):
     assert [r.i for r in top_n(df, [], ["i"], 4).orderBy("rank").collect()] == [0, 1, 2, 3]
 
 
+@pytest.mark.parametrize("held", [0, 7, 100_000])
+def test_top_n_counts_groups_and_passes_on(spark, monkeypatch, held):
+    """Also when a task can hold next to nothing: more rows are passed on, the result is the same."""
+    monkeypatch.setattr(reshape, "HELD_ROWS", held)
+    draw = random.Random(5)
+    data = [(draw.choice(["hot", "hot", None, "a", "b", ""]), draw.choice([None, 1, 2, 3]), i, [i], f"r{i}") for i in range(3000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        df = spark.createDataFrame(data, "key string, year int, id long, more array<long>, rank string").repartition(7)
+        found = top_n(df, ["key"], [F.col("year"), "id"], 4, "place", "size").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = []
+    for key in {r[0] for r in data}:
+        group = sorted((r for r in data if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        expected += [(*r, place, len(group)) for place, r in enumerate(group[:4], start=1)]
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, expected))
+
+
+def test_top_n_refuses_orders_that_tasks_would_not_share(spark):
+    df = spark.range(3).select("id", (F.col("id") / 2).alias("half"))
+    with pytest.raises(TypeError, match="double"):
+        top_n(df, [], ["half"], 1)
+
+
 @pytest.mark.parametrize("hot_rows", [1, 50, 10**6, None])
 def test_lookup_join_splits_hot_keys(spark, skewed, hot_rows):
     left = spark.createDataFrame(skewed, SCHEMA).repartition(6)

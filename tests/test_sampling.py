@@ -84,3 +84,34 @@ def test_review_sample(docs):
     reasons = [r.false_positive_reason for r in found[n_genuine:]]
     assert len(set(reasons)) == len(reasons) == min(10 - n_genuine, len({r[5] for r in data[:12] if not r[2]}))
     assert len(sampling.review_sample(df, "doc_id", 10).collect()) == 10
+
+
+def test_samples_read_their_rows_once(spark, docs, tmp_path):
+    docs[0].write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    samples = [
+        sampling.stratified_sample(df, "doc_id"), sampling.balanced_sample(df, "doc_id"),
+        sampling.diverse_sample(df, "doc_id"), sampling.review_sample(df, "doc_id"),
+    ]
+    for sample in samples:
+        plan = sample._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1
+        raw = plan[plan.index("MapInArrow"):]
+        assert "Window" not in raw and "Exchange" not in raw and "Sort" not in raw
+
+
+def test_samples_of_nothing_and_of_clashing_columns(docs):
+    df, data = docs
+    nothing = df.where("false")
+    for draw in (sampling.stratified_sample, sampling.balanced_sample, sampling.diverse_sample, sampling.review_sample):
+        assert draw(nothing, "doc_id").count() == 0
+    clash = df.withColumnRenamed("false_positive_reason", "n")
+    assert sampling.stratified_sample(clash, "doc_id").columns == [*clash.columns, "rank"]
+    unknown = df.selectExpr("doc_id", "CASE WHEN doc_id < 'd0450' THEN year END AS year")
+    known = {y: sum(r[1] == y and r[0] < "d0450" for r in data) for y in {r[1] for r in data}}
+    found = {r.year: r["count"] for r in sampling.stratified_sample(unknown, "doc_id").groupBy("year").count().collect()}
+    wanted = {y: round(n / 900 * 100) for y, n in sorted(known.items())}
+    gap = 100 - sum(wanted.values())
+    for y in sorted(wanted, key=lambda y: (-wanted[y], y))[:gap]:
+        wanted[y] += 1
+    assert found == {y: min(n, known[y]) for y, n in wanted.items() if min(n, known[y])}

@@ -27,25 +27,89 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     return first.select(*[F.col(c) if c in keys else F.col("_first")[c].alias(c) for c in df.columns])
 
 
+# A task passes on what it holds, and starts anew, once it holds more than this.
+HELD_ROWS = 100_000
+HELD_BYTES = 1 << 26
+
+
+def _cut_task(keys: Sequence[str], by: Sequence[str], n: int):
+    """Arrow batches of a task to the first n rows per key under ``by``, and in ``_rows``, on
+    one row of each key, how many rows it stands for. Memory is bounded: past ``HELD_ROWS`` or
+    ``HELD_BYTES`` the rows are passed on, which leaves a key more rows than n, never fewer."""
+
+    def cut(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def shorten(table):
+            order = pc.sort_indices(
+                table, sort_keys=[(c, "ascending") for c in (*keys, *by)], null_placement="at_start"
+            )
+            table = table.take(order).combine_chunks()
+            opens = np.zeros(len(table), dtype=bool)
+            opens[:1] = True
+            for c in keys:
+                # A null differs from every value and equals a null.
+                codes = table[c].dictionary_encode(null_encoding="encode").combine_chunks().indices.to_numpy()
+                opens[1:] |= codes[1:] != codes[:-1]
+            starts = np.flatnonzero(opens)
+            place = np.arange(len(table)) - np.repeat(starts, np.diff(np.append(starts, len(table))))
+            rows = np.zeros(len(table), dtype=np.int64)
+            rows[starts] = np.add.reduceat(table["_rows"].to_numpy(), starts)
+            at = table.schema.get_field_index("_rows")
+            return table.set_column(at, table.schema.field(at), pa.array(rows)).filter(pa.array(place < n))
+
+        held, fresh = [], []
+        for batch in batches:
+            if batch.num_rows:
+                fresh.append(pa.Table.from_batches([batch]))
+            # Sorted anew only when as much has come as is held, so a row is sorted a few times.
+            if sum(map(len, fresh)) > sum(map(len, held)) or sum(t.nbytes for t in fresh) > HELD_BYTES:
+                held, fresh = [shorten(pa.concat_tables(held + fresh))], []
+                if len(held[0]) > HELD_ROWS or held[0].nbytes > HELD_BYTES:
+                    yield from held.pop().to_batches()
+        if held or fresh:
+            yield from shorten(pa.concat_tables(held + fresh)).to_batches()
+
+    return cut
+
+
 def top_n(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int, rank: str = "rank"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int, rank: str = "rank",
+    pool: str | None = None,
 ) -> DataFrame:
-    """The first n rows of every group, numbered in ``rank``.
+    """The first n rows of every group, numbered in ``rank``, and in ``pool`` the group's size.
 
-    Every task cuts its own share of a group to n rows before the shuffle, slices made of several
-    tasks cut again, and only their survivors are ranked together. Exact: a row among the first
-    n of its group is among the first n of its slice. The slice depends on the input split only.
+    One scan: every task keeps the n first rows of its groups while it reads, and counts all of
+    them; slices made of several tasks cut again, and only their survivors are ranked together. Exact:
+    a row among the first n of its group is among the first n of its task and of its slice. ``order``
+    is ascending, nulls first, by columns or expressions of numbers, texts, dates or booleans; groups and
+    order by floating-point numbers or nested values are an error, for tasks would place NaN differently.
     """
-    by = [F.col(o) if isinstance(o, str) else o for o in order]
-    spread = df.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(SLICES)))
-    in_slice = Window.partitionBy(*keys, "_slice").orderBy(*by)
-    survivors = spread.withColumn("_local", F.row_number().over(in_slice)).where(F.col("_local") <= n)
-    overall = Window.partitionBy(*keys).orderBy(*by) if keys else Window.partitionBy(F.lit(0)).orderBy(*by)
-    return (
-        survivors.withColumn(rank, F.row_number().over(overall))
-        .where(F.col(rank) <= n)
-        .drop("_slice", "_local")
-    )
+    named = {f"_by{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)}
+    ranked = df.select("*", *[c.alias(name) for name, c in named.items()], F.lit(1).cast("bigint").alias("_rows"))
+    for c in (*keys, *named):
+        kind = ranked.schema[c].dataType
+        if isinstance(kind, (T.FloatType, T.DoubleType, T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            raise TypeError(f"cannot group or order by {kind.simpleString()}")
+    kept = ranked.mapInArrow(_cut_task(list(keys), list(named), n), ranked.schema)
+
+    def again(rows: DataFrame, by: Sequence[str], place: str) -> DataFrame:
+        group = Window.partitionBy(*(by or [F.lit(0)]))
+        first = F.row_number().over(group.orderBy(*named)).alias(place)
+        total = F.sum("_rows").over(group).alias("_total")
+        others = [c for c in rows.columns if c not in ("_rows", place)]
+        cut = rows.select(*[f"`{c}`" for c in others], first, total).where(F.col(place) <= n)
+        return cut.withColumn("_rows", F.when(F.col(place) == 1, F.col("_total")).otherwise(0)).drop("_total")
+
+    spread = kept.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(SLICES)))
+    sliced = again(spread, [*keys, "_slice"], "_local").drop("_slice", "_local")
+    everything = Window.partitionBy(*(keys or [F.lit(0)]))
+    found = again(sliced, keys, rank)
+    if pool:
+        found = found.withColumn(pool, F.max("_rows").over(everything))
+    return found.drop(*named, "_rows")
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
