@@ -67,6 +67,25 @@ def test_first_claims(t):
     assert coverage[:4] == (4, 1, 4, 6) and coverage.coverage_pct == pytest.approx(400 / 6)
 
 
+def test_first_claims_straight_from_bulk_rows(spark, t):
+    steps = corpus.first_claim_dedup(corpus.claim_records(t.claims, t.universe))
+    as_rows = lambda df: sorted(map(repr, df.collect()))
+    twice = t.universe.union(t.universe)
+    direct = corpus.first_claims(t.claims, twice)
+    assert as_rows(direct) == as_rows(steps) and direct.columns == steps.columns
+    assert corpus.first_claims(t.claims.where("false"), t.universe).count() == 0
+    assert corpus.first_claims(t.claims, t.universe.where("false")).count() == 0
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = corpus.first_claims(t.claims, t.universe)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # Claims once, universe once; the third is the small table of claim files.
+    assert plan.count("hashpartitioning(key") == 2 and plan.count("Exchange hashpartitioning") == 3
+
+
 @pytest.mark.parametrize("hot_rows", [1, None])
 def test_one_plan_equals_the_steps(t, hot_rows):
     texts = corpus.assemble_text(t.universe, t.titles, t.granted, t.pregrant)

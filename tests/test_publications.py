@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from trendloom.functions import arrays as A
 from trendloom.operators import publications
 from trendloom.schemas import PUBLICATIONS
+from trendloom.sources import sinks
+from trendloom.sources.delimited import read_publications
 
 LONG = "x" * 51
 
@@ -96,3 +98,41 @@ def test_scan_reads_needed_fields_only(records, spark, tmp_path):
     assert "Exchange" not in plan
     earliest = read_publications(spark, path).select(A.earliest_priority_country(F.col("priority_claim")))
     assert "application_number" not in earliest._jdf.queryExecution().executedPlan().toString()
+
+
+def scanned_rows(spark, df):
+    """Result rows, and the rows the one scan of ``df`` passed on."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        execution = df._jdf.queryExecution()
+        found = execution.executedPlan().executeCollect()
+        scan = execution.executedPlan().collectLeaves().apply(0)
+        return len(found), scan.metrics().apply("numOutputRows").value()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_landed_records_are_read_by_row_group(spark, tmp_path):
+    """Two years of one office: files and row groups of other years and offices are not read."""
+    data = [
+        record(f"{office}{year}{i}A1", office, year * 10000 + 101 + i % 28)
+        for year in range(2010, 2024) for office in ("EP", "US", "WO") for i in range(100)
+    ]
+    df = spark.createDataFrame(data, PUBLICATIONS).repartition(5)
+    sinks.land_publications(df, str(tmp_path / "sorted"), row_group_bytes=1 << 14)  # one file, many row groups
+    df.write.parquet(str(tmp_path / "plain"))
+    spark.conf.set("spark.sql.shuffle.partitions", "42")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.land_publications(df, str(tmp_path / "many"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    read = {}
+    for name in ("plain", "sorted", "many"):
+        stored = read_publications(spark, str(tmp_path / name))
+        assert sorted(map(repr, stored.collect())) == sorted(map(repr, df.collect()))
+        hits, read[name] = scanned_rows(spark, publications.european_candidates(stored, 2015, 2016))
+        assert hits == 200
+    assert read["many"] <= 400 < read["plain"] == len(data)
+    assert len(list((tmp_path / "sorted").glob("*.parquet"))) == 1 and read["sorted"] < 1000

@@ -163,18 +163,21 @@ def first_claim(claims: DataFrame) -> DataFrame:
     return picked.select(*claims.columns)
 
 
+def _claim_texts(claims: DataFrame) -> DataFrame:
+    return first_claim(claims).select(
+        ids.join_key(F.col("patent_id")).alias("key"), "claim_type", "year", strip(F.col("text")).alias("claim1_text")
+    )
+
+
 def claim_records(claims: DataFrame, universe: DataFrame) -> DataFrame:
     """First claims of universe documents, one per document and file, under the universe's id.
 
     Copies are reduced before the join, so no key is left with more than one row per file.
     """
-    texts = first_claim(claims).select(
-        ids.join_key(F.col("patent_id")).alias("key"), "claim_type", "year", strip(F.col("text")).alias("claim1_text")
-    )
     docs = universe.select(
         "doc_id", ids.join_key(F.col("doc_id")).alias("key"), ids.claim_file_kind(F.col("doc_id")).alias("claim_type")
     ).distinct()
-    per_file = keep_first(texts, ["key", "claim_type", "year"])
+    per_file = keep_first(_claim_texts(claims), ["key", "claim_type", "year"])
     return per_file.join(docs, ["key", "claim_type"]).select("doc_id", "claim1_text", "claim_type", "year")
 
 
@@ -183,6 +186,23 @@ def first_claim_dedup(records: DataFrame) -> DataFrame:
     return keep_first(records, ["doc_id"], ["claim_type", "year", "claim1_text"])
 
 
+def first_claims(claims: DataFrame, universe: DataFrame) -> DataFrame:
+    """One claim per universe document, straight from the bulk rows.
+
+    Same rows as ``first_claim_dedup`` of ``claim_records``. An id's shape fixes the kind of file that
+    can hold it, so the first row of a key and kind is the document's; claims and universe are
+    reduced by key and kind in one shuffle each, joined there, and not shuffled again.
+    """
+    first = keep_first(_claim_texts(claims), ["key", "claim_type"], ["year", "claim1_text"])
+    listed = universe.select(
+        "doc_id", ids.join_key(F.col("doc_id")).alias("key"), ids.claim_file_kind(F.col("doc_id")).alias("claim_type")
+    ).where(F.col("claim_type").isNotNull())
+    # A set holds the few spellings of an id: with and without prefix or surrounding blanks.
+    docs = listed.groupBy("key", "claim_type").agg(F.collect_set("doc_id").alias("doc_ids"))
+    joined = first.join(docs, ["key", "claim_type"])
+    return joined.select(F.explode("doc_ids").alias("doc_id"), "claim1_text", "claim_type", "year")
+
+
 def claim_coverage(records: DataFrame, universe: DataFrame) -> DataFrame:
     """Records per kind, documents found, and their share of the known universe.
 

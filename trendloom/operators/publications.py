@@ -9,16 +9,16 @@ from trendloom.functions import arrays as A
 from trendloom.schemas import CPC_CANDIDATE, CPC_COUNTRY, FIRST_YEAR, LAST_YEAR
 
 
-def european_candidates(publications: DataFrame) -> DataFrame:
-    """EP records of the period with an English abstract and a matching code, no US first priority.
+def european_candidates(publications: DataFrame, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
+    """EP records of the years ``first`` to ``last`` with an English abstract and a matching code, no US first priority.
 
     The country and date tests come first and are plain column predicates, so Parquet skips row
     groups by them; the array tests run inside the scan stage, with no explode and no shuffle.
     """
     hits = publications.where(
         (F.col("country_code") == "EP")
-        & A.published_in(F.col("publication_date"))
-        & A.year_of_date(F.col("publication_date")).between(FIRST_YEAR, LAST_YEAR)
+        & A.published_in(F.col("publication_date"), first, last)
+        & A.year_of_date(F.col("publication_date")).between(first, last)
         & A.has_long_text(F.col("abstract_localized"))
         & A.has_code(F.col("cpc"), CPC_CANDIDATE)
     )

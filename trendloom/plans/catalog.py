@@ -296,7 +296,7 @@ def assembled(t: Tables) -> DataFrame:
 
 
 def claim_table(t: Tables) -> DataFrame:
-    return corpus.first_claim_dedup(corpus.claim_records(t.claims, t.universe))
+    return corpus.first_claims(t.claims, t.universe)
 
 
 def merged(t: Tables) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trendloom import schemas as S
 from trendloom.session import scratch_dir, small_methods
 from trendloom.sources.delimited import read_publications
+from trendloom.sources.sinks import land_publications
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -318,9 +319,8 @@ class Tables:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, "publications")
         if key not in _LANDED:
             path = scratch_dir(self.spark, "publications")
-            # Rebalanced, so that files are even whatever the splits and keys of the source.
             with small_methods(self.spark):
-                self.publication_rows.hint("rebalance").write.parquet(path)
+                land_publications(self.publication_rows, path)
             _LANDED[key] = path
         return read_publications(self.spark, _LANDED[key])
 
