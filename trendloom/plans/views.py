@@ -95,17 +95,24 @@ UNIVERSE = f"SELECT {doc_id('o_orderkey')} AS doc_id, {year('o_orderdate')} AS y
 TEXTS = f"""
 SELECT {doc_id('doc_id')} AS doc_id, {bulk_id('doc_id')} AS bulk_id, text, lang FROM <<documents>>"""
 
+# In the bulk files most ids stand twice, the second time with the text of the document before or
+# with none, so that which row comes first shows in the results.
+BULK_TEXTS = f"""
+SELECT doc_id, bulk_id, text, lang FROM <<texts>>
+UNION ALL
+SELECT {doc_id('(doc_id + 1)')}, {bulk_id('(doc_id + 1)')}, CASE WHEN doc_id % 3 <> 0 THEN text END, lang FROM <<documents>>"""
+
 GRANTED_TITLES = """
 SELECT CASE WHEN lang = 'en' THEN bulk_id ELSE doc_id END AS patent_id,
        CASE WHEN lang <> 'es' THEN split_part(text, '.', 1) END AS patent_title
-FROM <<texts>> WHERE length(doc_id) < 11 AND doc_id NOT LIKE 'X%'"""
+FROM <<bulk_texts>> WHERE length(doc_id) < 11 AND doc_id NOT LIKE 'X%'"""
 
 GRANTED_ABSTRACTS = """
 SELECT bulk_id AS patent_id, text AS patent_abstract
-FROM <<texts>> WHERE length(doc_id) < 11 AND doc_id NOT LIKE 'X%'"""
+FROM <<bulk_texts>> WHERE length(doc_id) < 11 AND doc_id NOT LIKE 'X%'"""
 
 PREGRANT_ABSTRACTS = """
-SELECT doc_id AS pgpub_id, text AS application_abstract FROM <<texts>> WHERE length(doc_id) = 11"""
+SELECT doc_id AS pgpub_id, text AS application_abstract FROM <<bulk_texts>> WHERE length(doc_id) = 11"""
 
 # Granted files count claims from 0, except 2012, whose texts carry no number.
 CLAIMS = f"""
@@ -288,7 +295,7 @@ FROM <<publication_parts>> LEFT JOIN (SELECT doc_id, {abstracts} AS abstract_loc
 def view_sql(d: Dialect) -> dict[str, str]:
     """All views in an order in which each uses earlier ones only."""
     return {
-        "universe": UNIVERSE, "texts": TEXTS, "granted_titles": GRANTED_TITLES,
+        "universe": UNIVERSE, "texts": TEXTS, "bulk_texts": BULK_TEXTS, "granted_titles": GRANTED_TITLES,
         "granted_abstracts": GRANTED_ABSTRACTS, "pregrant_abstracts": PREGRANT_ABSTRACTS,
         "claims": CLAIMS, "raw_labels": _RAW_LABELS, "classification": CLASSIFICATION,
         "rater_pair": RATER_PAIR, "answers": ANSWERS, "country": COUNTRY,
