@@ -136,3 +136,33 @@ def test_landed_records_are_read_by_row_group(spark, tmp_path):
         assert hits == 200
     assert read["many"] <= 400 < read["plain"] == len(data)
     assert len(list((tmp_path / "sorted").glob("*.parquet"))) == 1 and read["sorted"] < 1000
+
+
+def test_records_are_built_after_the_shuffle(spark, tmp_path, monkeypatch):
+    """What is shuffled and sorted are the plain columns of the tables; copies and missing values stay."""
+    from datetime import datetime
+
+    from trendloom.plans import views
+
+    lines = [(k, 7 * k + n, 3 * k + n, n, datetime(1995 + k % 7, 1 + k % 12, 1 + n)) for k in range(1, 60) for n in range(1, 8)]
+    lines += [lines[5], (None, 97, 25, 2, datetime(1996, 1, 1)), (3, None, None, 1, None)]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_shipdate timestamp"
+    spark.createDataFrame(lines, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    texts = [(k, f"line {k}\n\nlonger line {k}") for k in range(1, 30)] + [(4, "copy"), (5, None), (None, "no id")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    handed, land = [], views.land_publications
+    monkeypatch.setattr(views, "land_publications", lambda df, *a, **k: (handed.append(df), land(df, *a, **k)))
+    t = views.Tables(spark, str(tmp_path))
+    stored = t.publications()
+    whole = t.publication_rows.select(stored.columns)
+    assert sorted(map(repr, stored.collect())) == sorted(map(repr, whole.collect()))
+    assert not any("array" in kind for _, kind in handed[0].dtypes)
+    # Files hold ranges of the order, sorted inside.
+    order = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sinks.PUBLICATION_ORDER]
+    kept = stored.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), F.struct(*order).alias("key"))
+    files = {}
+    for r in kept.orderBy("at").collect():
+        files.setdefault(r.file, []).append(tuple(r.key))
+    assert all(keys == sorted(keys) for keys in files.values())
+    spans = sorted((keys[0], keys[-1]) for keys in files.values())
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))

@@ -234,8 +234,21 @@ def choose(expr: str, values: list[str]) -> str:
     return f"split_part('{','.join(values)}', ',', CAST({expr} + 1 AS INT))"
 
 
+_PREFIX = "CASE WHEN l_suppkey % 25 = 0 THEN 'US' ELSE 'EP' END"
+_BASE = f"({year('l_shipdate')} * 10000 + month(l_shipdate) * 100)"
+
+
+def record_order(prefix: str, base: str, day: str, year: str) -> dict[str, str]:
+    """What records are ordered by when they are stored."""
+    return {
+        "country_code": f"CASE WHEN l_partkey % 50 = 0 THEN 'WO' ELSE {prefix} END",
+        "publication_date": f"CAST(CASE WHEN l_partkey % 97 = 0 THEN {year} * 10000 + 1340 ELSE {base} + {day} END AS INT)",
+        "publication_number": f"{prefix} || CAST(l_orderkey AS STRING) || 'A' || CAST(l_linenumber AS STRING)",
+    }
+
+
 # The values a publication record is made of, one row per order line.
-def _publication_parts() -> str:
+def _publication_parts(also: str = "") -> str:
     numbers = ", ".join(
         f"{choose(f'(l_suppkey + {j} * l_partkey) % 6', PRIORITY_COUNTRIES)} || CAST(l_orderkey * 10 + {j} AS STRING) AS number{j}, "
         f"CASE WHEN l_partkey % 13 <> {j} THEN CAST({{base}} + 1 - 10000 * (1 + (l_partkey + {j}) % 3) AS INT) END AS day{j}"
@@ -245,19 +258,25 @@ def _publication_parts() -> str:
         f"{choose(e, CODES)} AS code{i}"
         for i, e in enumerate(("l_partkey % 12", "l_suppkey % 12", "(l_partkey + l_suppkey) % 12"), start=1)
     )
-    base = f"({year('l_shipdate')} * 10000 + month(l_shipdate) * 100)"
     return f"""
-SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_suppkey % 25 = 0 THEN 'US' ELSE 'EP' END AS prefix,
-       {base} AS base, day(l_shipdate) AS day, {year('l_shipdate')} AS year,
+SELECT {also}l_orderkey, l_partkey, l_suppkey, l_linenumber, {_PREFIX} AS prefix,
+       {_BASE} AS base, day(l_shipdate) AS day, {year('l_shipdate')} AS year,
        'Method ' || CAST(l_partkey AS STRING) AS method, 'Verfahren ' || CAST(l_partkey AS STRING) AS german,
-       {numbers.replace("{base}", base)}, {codes},
+       {numbers.replace("{base}", _BASE)}, {codes},
        {choose('l_suppkey % 6', PRIORITY_COUNTRIES)} AS party1, {choose('l_partkey % 6', PRIORITY_COUNTRIES)} AS party2,
        CASE WHEN l_partkey % 19 <> 0 THEN {choose('(l_suppkey + l_partkey) % 6', PRIORITY_COUNTRIES)} END AS inventor
 FROM <<lineitem>>"""
 
 
-def publications(d: Dialect) -> str:
-    """Nested records. Texts come from the document with the order's key, one element per line."""
+# What a record is made of: a fraction of its bytes.
+PUBLICATION_LINES = """
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, doc_id, text
+FROM <<lineitem>> LEFT JOIN <<documents>> ON l_orderkey = doc_id"""
+
+
+def publications(d: Dialect, joined: bool = False) -> str:
+    """Nested records. Texts come from the document with the order's key, one element per line;
+    ``joined`` parts carry it already."""
     offset = "i" if d.spark else "(i - 1)"
     titles = d.array(
         d.struct(text="german", language="'de'"),
@@ -267,6 +286,10 @@ def publications(d: Dialect) -> str:
     abstracts = d.indexed_map(
         d.lines("text"), d.struct(text="nullif(t, '')", language=choose(f"({offset} + doc_id) % 4", LANGUAGES))
     )
+    abstract, source = f"{abstracts} AS abstract_localized", ""
+    if not joined:
+        source = f" LEFT JOIN (SELECT doc_id, {abstract} FROM <<documents>>) d\n  ON l_orderkey = doc_id"
+        abstract = "abstract_localized"
     priorities = d.array(*[
         d.struct(
             publication_number=f"number{j}", application_number=f"CASE WHEN l_partkey % 11 <> 0 THEN number{j} END",
@@ -276,20 +299,20 @@ def publications(d: Dialect) -> str:
     ])
     codes = d.array(*[d.struct(code=f"code{j}") for j in (1, 2, 3)])
     parties = d.array(d.struct(country_code="party1"), d.struct(country_code="party2"))
+    order = record_order("prefix", "base", "day", "year")
     return f"""
-SELECT prefix || CAST(l_orderkey AS STRING) || 'A' || CAST(l_linenumber AS STRING) AS publication_number,
+SELECT {order["publication_number"]} AS publication_number,
        'EP' || CAST(l_orderkey * 10 + l_linenumber AS STRING) AS application_number,
-       CASE WHEN l_partkey % 50 = 0 THEN 'WO' ELSE prefix END AS country_code,
+       {order["country_code"]} AS country_code,
        CAST(base + 1 - 10000 AS INT) AS filing_date,
-       CAST(CASE WHEN l_partkey % 97 = 0 THEN year * 10000 + 1340 ELSE base + day END AS INT) AS publication_date,
+       {order["publication_date"]} AS publication_date,
        {d.head(titles, 'CASE WHEN l_suppkey % 5 = 0 THEN 1 ELSE 1 + l_linenumber % 3 END')} AS title_localized,
-       abstract_localized,
+       {abstract},
        CASE WHEN l_linenumber <> 7 THEN {d.head(priorities, 'l_linenumber % 4')} END AS priority_claim,
        {d.head(codes, '1 + l_linenumber % 3')} AS cpc,
        {d.head(parties, 'l_linenumber % 3')} AS assignee_harmonized,
        {d.array(d.struct(country_code='inventor'))} AS inventor_harmonized
-FROM <<publication_parts>> LEFT JOIN (SELECT doc_id, {abstracts} AS abstract_localized FROM <<documents>>) d
-  ON l_orderkey = doc_id"""
+FROM <<publication_parts>>{source}"""
 
 
 def view_sql(d: Dialect) -> dict[str, str]:
@@ -326,11 +349,17 @@ class Tables:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, "publications")
         if key not in _LANDED:
             path = scratch_dir(self.spark, "publications")
+            order = record_order(_PREFIX, _BASE, "day(l_shipdate)", year("l_shipdate"))
             with small_methods(self.spark):
-                land_publications(self.publication_rows, path)
+                land_publications(self._run(PUBLICATION_LINES), path, build=self.publication_records, order=order)
             _LANDED[key] = path
         return read_publications(self.spark, _LANDED[key])
 
+    def publication_records(self, lines: DataFrame) -> DataFrame:
+        """The rows of ``publication_rows``, from ``PUBLICATION_LINES``."""
+        parts = self._run(_publication_parts("doc_id, text, "), lineitem=lines)
+        return self._run(publications(Dialect("spark"), joined=True), publication_parts=parts)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in BASE_TABLES and name not in self.__dict__.get("sql", {}):
             raise AttributeError(name)
@@ -341,8 +370,10 @@ class Tables:
     def _build(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        text = self.sql[name]
-        parents = {m: getattr(self, m) for m in MARK.findall(text)}
+        return self._run(self.sql[name])
+
+    def _run(self, text: str, **given: DataFrame) -> DataFrame:
+        parents = {m: given[m] if m in given else getattr(self, m) for m in MARK.findall(text)}
         text = text.replace("{", "{{").replace("}", "}}")
         return self.spark.sql(MARK.sub(r"{\1}", text), **parents)
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def union_variant_rows(*parts: DataFrame) -> DataFrame:
@@ -30,12 +31,21 @@ def write_projected(df: DataFrame, columns: Sequence[str], path: str, fmt: str =
 PUBLICATION_ORDER = ["country_code", "publication_date", "publication_number"]
 
 
-def land_publications(df: DataFrame, path: str, row_group_bytes: int = 32 << 20) -> None:
+def land_publications(
+    df: DataFrame, path: str, row_group_bytes: int = 32 << 20,
+    build: Callable[[DataFrame], DataFrame] | None = None, order: Mapping[str, str] | None = None,
+) -> None:
     """Store publication records so that a query on offices and dates reads its row groups only.
 
     Files are ranges of office, date and number, sorted inside; the number splits an office or a
     day that holds much of the table. There are ``spark.sql.shuffle.partitions`` ranges before empty
     and small ones are merged. Finding the ranges reads the source a second time, once per landing.
+
+    Nested records are several times wider than the values they are made of. With ``build``, a row by
+    row projection, ``df`` holds those values, from which ``order`` derives the three columns above;
+    records are built where their row has come to lie, so that only ``df`` is shuffled and sorted.
     """
-    ranges = df.repartitionByRange(*PUBLICATION_ORDER).sortWithinPartitions(*PUBLICATION_ORDER)
-    ranges.write.option("parquet.block.size", row_group_bytes).parquet(path)
+    derived = {c: F.expr(order[c]) if order else F.col(c) for c in PUBLICATION_ORDER}
+    ranges = df.repartitionByRange(*derived.values()).withColumns(derived).sortWithinPartitions(*PUBLICATION_ORDER)
+    records = build(ranges.select(*df.columns)) if build else ranges
+    records.write.option("parquet.block.size", row_group_bytes).option("compression", "zstd").parquet(path)
