@@ -27,3 +27,25 @@ def test_labels_of_texts_held_out(rows):
 def test_nothing_to_learn_from(rows):
     model = bayes.train_bayes(rows(ROWS, [(1, "a b", None)]), label="label")
     assert model.collect() == [] and bayes.apply_bayes(model, rows("doc_id long, text string", [(1, "a")])).collect() == []
+
+
+def test_frequent_and_other_words_weigh_alike(rows, monkeypatch):
+    """Whichever words are weighed where they are read, the odds are the same; an id may have several rows."""
+    data = [(k, f"w{k % 5} w{k % 3} w{k % 7} common common", bool(k % 2)) for k in range(60)]
+    model = bayes.train_bayes(rows(ROWS, data), label="label")
+    texts = rows("doc_id long, text string", [(k % 40, t) for k, t, _ in data] + [(1, "unseen"), (99, None), (None, "w1 w1")])
+    found = []
+    for share in (1, 8, 1 << 20):
+        monkeypatch.setattr(bayes, "FREQUENT", share)
+        found.append({r.doc_id: round(r.log_odds, 9) for r in bayes.apply_bayes(model, texts).collect()})
+    weight = {r.word: r.weight for r in model.collect()}
+    assert found[0] == found[1] == found[2] and found[0][99] == round(weight[""], 9)
+    assert found[0][None] == round(weight[""] + 2 * weight["w1"], 9) and len(found[0]) == 42
+
+
+def test_words_are_summed_before_the_shuffle(rows):
+    """Learning groups by word alone, so that its sums combine before the shuffle."""
+    many = rows(ROWS, [(k, "a few words only", bool(k % 2)) for k in range(300)])
+    model = bayes.train_bayes(many, label="label")
+    grouped = [line for line in model._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning" in line]
+    assert grouped and all("hashpartitioning(word#" in line for line in grouped)
