@@ -167,3 +167,27 @@ def test_fresh_stream_reads_only_the_parts_of_its_ids(spark, tmp_path):
     texts(spark, ["new", "d8", "newer"]).write.mode("append").parquet(landing)
     incremental.score_landing(spark, landing, DOCS, out, log, watched, ROWS)
     assert [i for i, run, _ in found(spark, out) if run != "earlier"] == ["new", "newer"]
+
+
+def test_next_part_is_planned_while_one_is_written(spark, tmp_path, monkeypatch):
+    """A part's results are written before the next is run, but that one's plan is made meanwhile."""
+    import time
+
+    calls, seen, own = [], [], scoring.append_results
+
+    def label(part, tasks):
+        calls.append(tasks)
+        return part.select("doc_id", F.lit("success").alias("status"))
+
+    def append(rows, path, batch, run):
+        until = time.time() + 20
+        while len(calls) < min(batch + 3, 4) and time.time() < until:
+            time.sleep(0.05)
+        seen.append((batch, len(calls)))
+        own(rows, path, batch, run)
+
+    monkeypatch.setattr(scoring, "append_results", append)
+    docs = texts(spark, ["a", "b", "c"])
+    done = scoring.run_resumable(docs, label, str(tmp_path / "out"), rows_per_task=1, tasks_per_write=1)
+    # The columns and the first part, then always one part more than is written.
+    assert seen == [(0, 3), (1, 4), (2, 4)] and sorted(r.doc_id for r in done.collect()) == ["a", "b", "c"]

@@ -5,8 +5,10 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,7 +128,8 @@ def run_resumable(
 
     What is to be done is landed in the shared folder, ``rows_per_task`` rows a file, and labelled
     ``tasks_per_write`` files at a time by ``label(part, tasks)``. Each part's results are written
-    before the next is begun, so a run broken off loses one part, and calling again does the rest.
+    before the next is begun, so a run broken off loses one part, and calling again does the rest;
+    only ``label`` is called one part ahead.
     What was landed goes when all is done; the result table merges its small files.
     Don't join the frames of two calls: Spark takes two readings of one folder for the same rows.
     """
@@ -137,9 +140,14 @@ def run_resumable(
     todo.write.option("maxRecordsPerFile", rows_per_task).parquet(landed)
     read = spark.read.schema(docs.schema)
     files = sorted(read.parquet(landed).inputFiles())
-    for batch, start in enumerate(range(0, len(files), tasks_per_write)):
-        part = files[start : start + tasks_per_write]
-        append_results(label(read.parquet(*part), len(part)), path, batch, run)
+    parts = [files[start : start + tasks_per_write] for start in range(0, len(files), tasks_per_write)]
+    # Small parts take the driver as long to plan as the tasks to label: the next is planned meanwhile.
+    with ThreadPoolExecutor(1) as ahead:
+        plan = lambda part: ahead.submit(inheritable_thread_target(spark)(lambda: label(read.parquet(*part), len(part))))
+        planned = plan(parts[0]) if parts else None
+        for batch, following in enumerate([*parts[1:], None][: len(parts)]):
+            now, planned = planned.result(), following and plan(following)
+            append_results(now, path, batch, run)
     if not exists(spark, path):
         append_results(label(docs.limit(0), 1), path, 0, run)
     results.compact(spark, path, schema)
