@@ -166,3 +166,26 @@ def test_records_are_built_after_the_shuffle(spark, tmp_path, monkeypatch):
     assert all(keys == sorted(keys) for keys in files.values())
     spans = sorted((keys[0], keys[-1]) for keys in files.values())
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_texts_are_packed_before_the_shuffle(spark, tmp_path, monkeypatch):
+    """What the landing shuffles and sorts holds texts compressed, and only lines with a document are joined."""
+    from datetime import datetime
+
+    from trendloom.plans import views
+
+    lines = [(k, k, k, 1 + k % 7, datetime(1996, 1, 1, 23, 59)) for k in range(2000)] + [(None, 1, 1, 1, None)]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_shipdate timestamp"
+    spark.createDataFrame(lines, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    texts = [(k, "\n".join(f"the method of step {k * i} uses the result of step {i}" for i in range(40))) for k in range(0, 500, 5)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    handed, split = [], []
+    land, by_keys = views.land_publications, views.split_by_keys
+    monkeypatch.setattr(views, "land_publications", lambda df, *a, **k: (handed.append(df), land(df, *a, **k)))
+    monkeypatch.setattr(views, "split_by_keys", lambda *a, **k: split.append(by_keys(*a, **k)) or split[-1])
+    t = views.Tables(spark, str(tmp_path))
+    stored = t.publications()
+    assert handed[0].agg(F.sum(F.octet_length("text"))).first()[0] < 0.5 * sum(len(x) for _, x in texts)
+    assert split[0][0].count() == len(texts) and split[0][1].count() == len(lines) - len(texts)
+    whole = t.publication_rows.select(stored.columns)
+    assert sorted(map(repr, stored.collect())) == sorted(map(repr, whole.collect()))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trendloom.operators import reshape
-from trendloom.operators.reshape import hot_keys, keep_first, lookup_join, membership_join, top_n
+from trendloom.operators.reshape import hot_keys, keep_first, lookup_join, membership_join, split_by_keys, top_n
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +104,24 @@ def test_hot_rows_are_spread(spark):
 
     salts = _salted(df, hot_keys(df, ["key"], 100), ["key"]).select("_salt").distinct().count()
     assert salts > 8
+
+
+@pytest.mark.parametrize("bits", [reshape.BITMAP_BITS, reshape.KEY_BITS])
+def test_split_by_keys(spark, bits):
+    """Every row is in one part; rows with a partner are in the first, whatever the bits hold."""
+    left = spark.createDataFrame([(k % 3000 - 100, f"t{k}") for k in range(4000)] + [(None, "x"), (5, "t105"), (5, "t105")], "key long, text string")
+    right = spark.createDataFrame([(k,) for k in range(-50, 900, 3)] * 2 + [(None,), (10**12,)], "key long")
+    some, none = split_by_keys(left, right, "key", bits)
+    assert some.columns == none.columns == left.columns
+    assert sorted(map(repr, some.collect() + none.collect())) == sorted(map(repr, left.collect()))
+    partners = {r.key for r in right.collect()} - {None}
+    apart = {r.key for r in none.collect()}
+    assert not apart & partners and None in apart
+    # Few keys collide in many bits.
+    assert bits == reshape.BITMAP_BITS or {r.key for r in some.collect()} <= partners
+
+
+def test_split_by_no_keys(spark):
+    left = spark.createDataFrame([(1,), (None,)], "key long")
+    some, none = split_by_keys(left, left.where("key is null"), "key")
+    assert not some.collect() and none.count() == 2

@@ -165,3 +165,15 @@ def test_keywords(rows):
     rates = {(r.family, r.year): (r.hits, r.per_thousand) for r in emergence_rate(df, "t").collect()}
     assert rates[("Foundation models / LLMs", 2010)][0] == 1
     assert rates[("Model distillation", 2011)] == (1, pytest.approx(1000 / 6))
+
+
+def test_packed_texts(spark, monkeypatch):
+    monkeypatch.setattr(text, "UNPACKED_BYTES", 1000)  # several pieces a batch
+    texts = [None, "", "x", "0", "1", "Größe é 中\n", "a line of prose, a line\n" * 90, "".join(map(chr, range(1, 3000)))] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    bad = df.limit(1).select(F.lit(-1).alias("id"), F.expr("CAST(X'61ff62' AS STRING)").alias("text"))
+    stored = df.union(bad).select("*", text.packed(F.col("text")).alias("packed"))
+    found = stored.select("id", "text", "packed", text.unpacked(F.col("packed")).alias("back"))
+    assert found.where(~F.col("text").cast("binary").eqNullSafe(F.col("back").cast("binary"))).count() == 0
+    size = {r.id: (r.n, r.m) for r in found.select("id", F.octet_length("text").alias("n"), F.octet_length("packed").alias("m")).collect()}
+    assert len(size) == len(texts) + 1 and size[0] == (None, None) and size[2] == (1, 2) and size[6][1] < 100 < size[6][0]

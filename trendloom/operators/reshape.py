@@ -169,3 +169,25 @@ def membership_join(
     hot = hot_keys(left, on, hot_rows)
     members = _replicated(members.distinct(), hot, on)
     return _salted(left, hot, on).join(members, [*on, "_salt"], how).select(*left.columns)
+
+
+# Bits in a table of keys, and how many of them a row of it holds, which is what Spark's bitmaps have.
+KEY_BITS = 1 << 26
+BITMAP_BITS = 8 * 4096
+
+
+def split_by_keys(left: DataFrame, right: DataFrame, on: str, bits: int = KEY_BITS) -> tuple[DataFrame, DataFrame]:
+    """``left`` in two parts: rows whose key may be among those of ``right``, and rows whose key is not.
+
+    The second part need not be shuffled for a left join. A key of ``right`` sets one of ``bits`` bits
+    (a multiple of ``BITMAP_BITS``), which are broadcast: 8 MB at most by default. Past as many keys the
+    bits fill up, and more rows go into the first part; a row with a partner is always there.
+    """
+    bit = F.pmod(F.xxhash64(on), F.lit(bits))
+    word, at = F.floor(bit / BITMAP_BITS).alias("_word"), F.pmod(bit, F.lit(BITMAP_BITS))
+    known = right.where(F.col(on).isNotNull()).groupBy(word).agg(F.bitmap_construct_agg(at).alias("_bits"))
+    byte = F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1)))
+    hit = F.getbit(F.conv(byte, 16, 10).cast("int"), F.pmod(at, F.lit(8)).cast("int")) == 1
+    flagged = left.withColumn("_word", word).join(F.broadcast(known), "_word", "left")
+    flagged = flagged.withColumn("_known", F.col(on).isNotNull() & F.coalesce(hit, F.lit(False)))
+    return tuple(flagged.where(F.col("_known") == side).select(*left.columns) for side in (True, False))
